@@ -146,12 +146,11 @@ def crc(x: object) -> int:
     return zlib.crc32(str(x).encode() if x is not None else b"")
 
 
-def text_batches(batch, column: str, limit: int = 4 << 20):
+def text_batches(batch, column: str | int, limit: int = 4 << 20):
     """Slices of an Arrow batch with about ``limit`` bytes of text each, one row at least: (first row, end row, texts as bytes)."""
     import pyarrow as pa
 
-    col = batch.column(column) if isinstance(column, str) else column
-    col = col.cast(pa.large_binary())
+    col = batch.column(column).cast(pa.large_binary())
     n, first, size, texts = len(col), 0, 0, []
     for i in range(n):
         t = col[i].as_py() or b""
