@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import hash_fold, mix64, text_batches
 
@@ -212,10 +213,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 rows = predict(shared.value, texts)
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], *[pa.array([r[i] for r in rows], t) for i, (_, _, t) in enumerate(new)]], [*kept, *[n for n, _, _ in new]])
 
-    from pyspark.sql.types import StructType
-
     frame = docs.select(*kept)
-    schema = StructType(frame.schema.fields)
+    schema = StructType(list(frame.schema.fields))
     for n, t, _ in new:
         schema = schema.add(n, t)
     return frame.mapInArrow(score, schema)

@@ -19,10 +19,14 @@ BUCKETS = 1 << 20
 #: A word's token, and its beginnings of so many bytes, shorter ones first.
 STEMS = (2, 3, 4, 5, 6, 7, 8, 10, 12)
 #: Weight of the prior of each token, which is centred on its beginning's odds.
-PRIOR = 1.0
+PRIOR = 10.0
 #: Taken from each word's log-odds, so that a segment of ordinary words loses.
-DRIFT = 0.08
+DRIFT = 0.6
 FOLDS = 5
+#: Scores above this count in a text's sum.
+FAIR = 2.0
+#: Where the scale of the extreme-value distribution is looked for.
+SCALES = np.arange(0.05, 4.0, 0.05)
 
 
 class Model(NamedTuple):
@@ -32,7 +36,7 @@ class Model(NamedTuple):
     #: Of the extreme-value distribution of the highest segment in a clean text, then of the logistic curve.
     scale: float = 1.0
     constant: float = 1.0
-    weights: tuple[float, ...] = (0.0, 1.0, 0.0)
+    weights: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0, 0.0)
 
 
 def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,20 +106,19 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
 
 
-def evidence(model: Model, n: int, found: list[tuple[int, int, float]]) -> tuple[float, float, float]:
-    """The highest segment's excess over chance, ln of the sum of all excesses, the number of significant segments.
+def evidence(model: Model, n: int, scores: list[float]) -> list[float]:
+    """Of a text of n words with segments of these scores: 1, the highest one's excess over chance, ln of the sum of all excesses, ln of the sum of the scores above FAIR, ln n.
 
-    In a text of n words a clean text has about constant x n x exp(-scale x score) segments as high as a score (Karlin and Altschul).
+    A clean text of n words has about constant x n x exp(-scale x score) segments as high as a score (Karlin and Altschul).
     """
     chance = np.log(model.constant * max(n, 1))
-    excess = [model.scale * x[2] - chance for x in found]
-    return max(excess, default=-chance), float(np.log1p(sum(x for x in excess if x > 0))), float(sum(x > 0 for x in excess))
+    excess = [model.scale * x - chance for x in scores]
+    return [1.0, max(-20.0, min(max(excess, default=-chance), 50.0)), float(np.log1p(sum(x for x in excess if x > 0))), float(np.log1p(sum(x for x in scores if x > FAIR))), float(np.log(max(n, 1)))]
 
 
 def probability(model: Model, n: int, found: list[tuple[int, int, float]]) -> float:
-    top, total, _ = evidence(model, n, found)
-    a, b, c = model.weights
-    return float(1 / (1 + np.exp(-np.clip(a + b * max(-20.0, min(top, 50.0)) + c * total, -40, 40))))
+    x = float(np.dot(model.weights, evidence(model, n, [y[2] for y in found])))
+    return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
@@ -164,28 +167,31 @@ def calibrate(model: Model, rows: DataFrame) -> Model:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column("label").to_pylist()
-            for a, _, texts in text_batches(batch, "text"):
-                got = [(label[a + i], n, max((x[2] for x in found), default=0.0), found) for i, (n, found) in enumerate(measured(shared.value, texts))]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.float64()), pa.array([[y[2] for y in x[3]] for x in got], pa.list_(pa.float64()))], ["label", "n", "top", "all"])
-
-    got = rows.mapInArrow(measure, "label int, n long, top double, all array<double>").toPandas()
-    clean = got[(got["label"] == 0) & (got["n"] > 0)]
-    if len(clean) >= 20 and clean["top"].std() > 0:
-        # The clean texts' highest scores less ln(n) / scale have a Gumbel distribution; moments give its scale and place.
-        scale = 1.0
-        for _ in range(20):
-            x = clean["top"] - np.log(clean["n"]) / scale
-            scale = float(np.clip(np.pi / np.sqrt(6) / max(x.std(), 1e-3), 0.05, 5.0))
-        x = clean["top"] - np.log(clean["n"]) / scale
-        model = model._replace(scale=scale, constant=float(np.exp(scale * (x.mean() - 0.5772156649 / scale))))
+            for a, b, texts in text_batches(batch, "text"):
+                own = np.array(label[a:b])
+                data, ends = joined(texts)
+                s, e, doc = words(data, ends)
+                clean = log_odds(shared.value, data, s, e)[own[doc] == 0]
+                got = [(int(y), n, [x[2] for x in found]) for y, (n, found) in zip(own, measured(shared.value, texts), strict=True)]
+                got.append((-1, len(clean), [float(np.exp(x * clean).sum()) for x in SCALES]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["label", "n", "all"])
+
+    got = rows.mapInArrow(measure, "label int, n long, all array<double>").toPandas()
+    sums = got[got["label"] < 0]
+    got = got[(got["label"] >= 0) & (got["n"] > 0)]
+    clean = got[got["label"] == 0]
+    if len(clean):
+        # The scale is the root of E[exp(scale x score)] = 1 over clean words; the place is the median of a Gumbel distribution.
+        scale = float(SCALES[np.abs(np.log(np.stack(sums["all"]).sum(axis=0) / sums["n"].sum())).argmin()])
+        top = np.array([max(x, default=0.0) for x in clean["all"]]) - np.log(clean["n"]) / scale
+        model = model._replace(scale=scale, constant=float(np.exp(scale * np.median(top) + np.log(np.log(2)))))
     if got["label"].nunique() == 2:
-        rows_ = [evidence(model, n, [(0, 0, y) for y in every]) for n, every in zip(got["n"], got["all"], strict=True)]
-        x = np.array([[1.0, max(-20.0, min(a, 50.0)), b] for a, b, _ in rows_])
+        x = np.array([evidence(model, n, every) for n, every in zip(got["n"], got["all"], strict=True)])
         y = got["label"].to_numpy(float)
-        w = np.zeros(3)
+        w = np.zeros(x.shape[1])
         for _ in range(50):  # Newton's method with a small ridge
             p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(3) * 0.01
+            h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * 0.01
             w += np.clip(np.linalg.solve(h, x.T @ (y - p) - 0.01 * w), -5, 5)
         model = model._replace(weights=tuple(w))
     return model
