@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, line_dedup, media, mixing, secrets, toxicity
+from . import decontaminate, langid, line_dedup, media, mixing, secrets, toxicity
 from .common import read
 
 
@@ -17,10 +17,11 @@ def _over_documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": lambda spark, sf_dir: toxicity.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
     "op2_language_id": _over_documents(langid.query),
+    "op4_decontaminate": lambda spark, sf_dir: decontaminate.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     "op6_line_dedup": _over_documents(line_dedup.query),
     "op7_mix_sources": _over_documents(mixing.query),
     "op9_media": _over_documents(media.query),
     "op10_secret_scan": _over_documents(secrets.query),
 }
 
-ORACLES = {"op6_line_dedup": line_dedup.SQL, "op10_secret_scan": secrets.SQL}
+ORACLES = {"op4_decontaminate": decontaminate.SQL, "op6_line_dedup": line_dedup.SQL, "op10_secret_scan": secrets.SQL}
