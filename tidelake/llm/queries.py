@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, line_dedup, media, mixing, secrets, toxicity
+from . import decontaminate, langid, line_dedup, media, mixing, secrets, simhash, toxicity
 from .common import read
 
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": lambda spark, sf_dir: decontaminate.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     "op6_line_dedup": _over_documents(line_dedup.query),
     "op7_mix_sources": _over_documents(mixing.query),
+    "op8_simhash": _over_documents(simhash.query),
     "op9_media": _over_documents(media.query),
     "op10_secret_scan": _over_documents(secrets.query),
 }
