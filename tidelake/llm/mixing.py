@@ -16,6 +16,8 @@ WEIGHTS = (5, 2, 1)
 BLOCK = 32
 SLOTS_PER_SHARD = 4096
 ROWS_PER_CHUNK = 500
+#: Slots made at once.
+RANGE = 1 << 15
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -61,28 +63,29 @@ def permute(i: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def draw_slots(plan: DataFrame, block: int, seed: int) -> DataFrame:
-    """(source, source_size, target, slots, shards) -> (source, shard, slot, index): the block that each slot of each output shard takes.
+    """(source, source_size, slots, shards) -> (source, shard, slot, index): the block that each slot of each output shard takes.
 
-    Each source's slots fall on the shards by a multinomial draw with equal chances; given the size of a shard, its source
-    counts are then multinomial with the targets as weights, while every source's total stays exact.  Slot j of a source takes block
-    j mod n under the permutation of pass j div n.  Slots are made in pieces, so no source's slots are held at once.
+    Each slot of a source falls on a shard with equal chances, so a source's counts per shard are a multinomial draw; given
+    the size of a shard, its source counts are multinomial with the targets as weights, while every source's total stays exact.
+    Slot j of a source takes block j mod n under the permutation of pass j div n.  Ranges of slots are dealt out, each with a seed of
+    its own, so no source's slots are made by one task.
     """
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for source, size, slots, shards in zip(frame.source, frame.source_size, frame.slots, frame.shards, strict=True):
-                name = crc(source) * 2 + (source is None)
-                counts = np.random.default_rng([seed, name]).multinomial(slots, np.full(shards, 1 / shards))
-                ends, n = np.cumsum(counts), -(-int(size) // block)
-                for first in range(0, slots, 1 << 16):
-                    j = np.arange(first, min(slots, first + (1 << 16)))
-                    index = np.empty(len(j), np.int64)
-                    for turn in range(first // n, int(j[-1]) // n + 1):
-                        here = j // n == turn
-                        index[here] = permute(j[here] % n, n, seed * 1_000_003 + name * 31 + turn)
-                    yield pd.DataFrame({"source": pd.Series([source] * len(j), dtype=object), "shard": np.searchsorted(ends, j, side="right"), "slot": j, "index": index})
+            for source, size, slots, shards, first in zip(frame.source, frame.source_size, frame.slots, frame.shards, frame["first"], strict=True):
+                name, n = crc(source) * 2 + (source is None), -(-int(size) // block)
+                j = np.arange(first, min(slots, first + RANGE))
+                shard = np.random.default_rng([seed, name, int(first)]).integers(0, shards, len(j))
+                index = np.empty(len(j), np.int64)
+                for turn in range(int(first) // n, int(j[-1]) // n + 1):
+                    here = j // n == turn
+                    index[here] = permute(j[here] % n, n, seed * 1_000_003 + name * 31 + turn)
+                yield pd.DataFrame({"source": pd.Series([source] * len(j), dtype=object), "shard": shard, "slot": j, "index": index})
 
-    return plan.where("slots > 0").repartition("source").mapInPandas(make, "source string, shard long, slot long, index long")
+    ranges = plan.where("slots > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(RANGE).cast("long"))))
+    total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    return ranges.repartition(max(1, min(10_000, total // (8 * RANGE))), "source", "first").mapInPandas(make, "source string, shard long, slot long, index long")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +128,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     pieces = placed.where("size > 0").select(ROW, "s", "size", "first", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))).alias("index"))
     overlap = F.least(F.col("first") + F.col("size"), (F.col("index") + 1) * block) - F.greatest("first", F.col("index") * block)
-    taken = pieces.join(times, ["s", "index"]).groupBy(F.col(ROW).alias("r")).agg(F.sum(overlap * F.col("times")).alias("taken"))
+    # Spark takes the slots for as few as the sources that they are made from; the hint keeps it from broadcasting them.
+    taken = pieces.join(times.hint("merge"), ["s", "index"]).groupBy(F.col(ROW).alias("r")).agg(F.sum(overlap * F.col("times")).alias("taken"))
     facts = (
         sized.select(ROW, F.struct("source").alias("s"), "size")
         .join(taken, F.col(ROW) == F.col("r"), "left")
