@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, line_dedup, media, mixing, secrets, simhash, toxicity
+from . import decontaminate, katz, langid, line_dedup, media, mixing, secrets, simhash, toxicity
 from .common import read
 
 
@@ -17,6 +17,7 @@ def _over_documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": lambda spark, sf_dir: toxicity.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
     "op2_language_id": _over_documents(langid.query),
+    "op3_katz": _over_documents(katz.query),
     "op4_decontaminate": lambda spark, sf_dir: decontaminate.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     "op6_line_dedup": _over_documents(line_dedup.query),
     "op7_mix_sources": _over_documents(mixing.query),
