@@ -176,7 +176,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     keys, n = np.unique(grams(data, ORDER + 1)[last[ORDER:]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array((keys & np.uint64((1 << 8 * (ORDER + 1)) - 1)).astype(np.int64)), pa.array(n)], ["lang", "string", "n"])
 
-    got = rows.select(F.col(lang_col), F.col(text_col)).mapInArrow(count, "lang string, string long, n long").groupBy("lang", "string").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.select(F.col(lang_col), F.col(text_col)).mapInArrow(count, "lang string, string long, n long").groupBy("lang", "string").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     return build(list(zip(got["lang"], got["string"], got["n"], strict=True))) if len(got) else Model([], [], [], [], [])
 
 

@@ -152,12 +152,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             at = np.flatnonzero(sums[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(sums[k][at])], ["label", "bucket", "n"])
 
-    got = rows.where(hash_fold("id", FOLDS) != FOLDS - 1).select("text", "label").mapInArrow(count, "label int, bucket long, n double").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.where(hash_fold("id", FOLDS) != FOLDS - 1).select("text", "label").mapInArrow(count, "label int, bucket long, n double").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros((2, BUCKETS))
-    sums[got["label"], got["bucket"]] = got["n"]
-    total = got.groupby("label")["n"].sum()
+    sums[got["label"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
+    total = sums.sum(axis=1)
     # Class 0 counts as much as class 1 in all, so that odds of 1 are no evidence.
-    model = Model(sums[1].astype(np.float32), (sums[0] * (total.get(1, 0.0) / max(total.get(0, 0.0), 1.0))).astype(np.float32))
+    model = Model(sums[1].astype(np.float32), (sums[0] * (total[1] / max(total[0], 1.0))).astype(np.float32))
     return calibrate(model, rows.where(hash_fold("id", FOLDS) == FOLDS - 1).select("text", "label"))
 
 
@@ -176,7 +176,7 @@ def calibrate(model: Model, rows: DataFrame) -> Model:
                 got.append((-1, len(clean), [float(np.exp(x * clean).sum()) for x in SCALES]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["label", "n", "all"])
 
-    got = rows.mapInArrow(measure, "label int, n long, all array<double>").toPandas()
+    got = rows.mapInArrow(measure, "label int, n long, all array<double>").toArrow().to_pandas()
     sums = got[got["label"] < 0]
     got = got[(got["label"] >= 0) & (got["n"] > 0)]
     clean = got[got["label"] == 0]
