@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, katz, langid, line_dedup, media, mixing, secrets, simhash, toxicity
+from . import decontaminate, katz, langid, line_dedup, media, mixing, repeats, secrets, simhash, toxicity
 from .common import read
 
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": _over_documents(langid.query),
     "op3_katz": _over_documents(katz.query),
     "op4_decontaminate": lambda spark, sf_dir: decontaminate.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
+    "op5_repeats": _over_documents(repeats.query),
     "op6_line_dedup": _over_documents(line_dedup.query),
     "op7_mix_sources": _over_documents(mixing.query),
     "op8_simhash": _over_documents(simhash.query),
