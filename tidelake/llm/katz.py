@@ -25,7 +25,7 @@ TEXT, WORDS, COUNTS, CONTEXTS, STATS, WEIGHTS = range(6)
 
 
 class Block(NamedTuple):
-    """Texts of one part of the corpus: tokens in each, whether it is for training, hashes of the different words (sorted), numbers of the tokens."""
+    """Texts of one part of the corpus: tokens in each, whether it is for training, hashes of the different words (by falling frequency, so that numbers compress), numbers of the tokens."""
 
     sizes: np.ndarray
     train: np.ndarray
@@ -33,7 +33,7 @@ class Block(NamedTuple):
     tokens: np.ndarray
 
     def pack(self) -> bytes:
-        return bundle(pack_ints(self.sizes), pack_ints(self.train), pack_ints(self.hashes, True), pack_ints(self.tokens))
+        return bundle(pack_ints(self.sizes), pack_ints(self.train), pack_ints(self.hashes), pack_ints(self.tokens))
 
     @classmethod
     def unpack(cls, b: bytes) -> Block:
@@ -62,8 +62,11 @@ def read_block(texts: list[bytes], train: np.ndarray) -> Block:
     sizes = np.bincount(doc, minlength=len(texts)) + 1
     every = np.full(int(sizes.sum()), END, np.uint64)
     every[np.arange(len(s)) + doc] = h
-    hashes, tokens = np.unique(every, return_inverse=True)
-    return Block(sizes, train, hashes, tokens)
+    hashes, tokens, n = np.unique(every, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    return Block(sizes, train, hashes[order], number[tokens])
 
 
 def discounts(n: np.ndarray, k: int = K) -> np.ndarray:
@@ -118,7 +121,10 @@ def by_part(parts: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def word_requests(block: Block, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    return by_part((block.hashes % np.uint64(n)).astype(np.int64), n)
+    """Parts of the words' table and the words to ask there for, by hash."""
+    order = np.argsort(block.hashes)
+    for p, at in by_part((block.hashes[order] % np.uint64(n)).astype(np.int64), n):
+        yield p, order[at]
 
 
 def _asked(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
