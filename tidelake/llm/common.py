@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zlib
 
@@ -31,6 +32,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark's cleaner drop the shuffle files behind what has been written to the checkpoint folder."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, nothing else changed."""
     return F.translate(c, UPPER, LOWER)

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, bundle, checkpointed, mix64, pack_ints, runs, span_hashes, text_batches, unbundle, unpack_ints
+from .common import ROW, bundle, checkpointed, mix64, pack_ints, release, runs, span_hashes, text_batches, unbundle, unpack_ints
 
 #: Length of a repeated string, of the strings by whose least hash its windows are dealt out, and so how many of these a window has.
-SPAN, SEED = 50, 20
+SPAN, SEED = 50, 28
 SEEDS = SPAN - SEED + 1
 BLOCK_BYTES, PART_BYTES, LEAST_PARTS = 4 << 20, 4 << 20, 48
 CHUNK = 1 << 20
@@ -71,10 +71,10 @@ def pieces(data: np.ndarray, sizes: np.ndarray) -> Pieces:
     return Pieces(np.concatenate(starts or [none]), np.concatenate(counts or [none]), np.concatenate(seeds or [none.astype(np.uint64)]))
 
 
-def pack_text(data: bytes) -> bytes:
+def pack_text(data: bytes, level: int = 1) -> bytes:
     import zstandard
 
-    return len(data).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(data)
+    return len(data).to_bytes(8, "little") + zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unpack_text(b: bytes) -> bytes:
@@ -168,31 +168,33 @@ class RunLengthIndex:
     """
 
     def __init__(self, strings: list[bytes], docs: np.ndarray):
-        self.text = np.frombuffer(b"\xff".join(strings) + b"\xff" * 9, np.uint8)
+        self.text = np.frombuffer(b"\xff".join(strings) + b"\xff" * (SPAN + 9), np.uint8)
         self.sizes = np.array([len(s) for s in strings], np.int64)
         self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
         n = int((self.sizes + 1).sum())
         owner = np.repeat(np.arange(len(strings)), self.sizes + 1)
         left = (self.starts + self.sizes)[owner] - np.arange(n)  # bytes before the separator
-        # Ranks by the first 8 bytes, then by twice as many each time; what is past the separator counts as nothing.
         key = np.zeros(n, np.uint64)
         for k in range(8):
             key = (key << np.uint64(8)) | np.where(left > k, self.text[k : k + n] + np.uint64(1), np.uint64(0))
-        rank, depth, longest = _ranks(key), 8, int(self.sizes.max(initial=0))
-        half = None
+        self.eight = np.concatenate([key, np.zeros(8, np.uint64)])
+        # Ranks by the first 5 bytes, then by twice as many each time; what is past the separator counts as nothing.
+        rows_, rank = _ranked(key >> np.uint64(24), 40)
+        depth, longest, bits = 5, int(self.sizes.max(initial=0)), int(n).bit_length()
+        half, half_depth = rank, depth
         while depth < longest:
-            if depth == 32:
-                half = rank
             tail = np.zeros(n, np.uint64)
-            tail[:-depth or None] = rank[depth:] + np.uint64(1)
-            rank = _ranks((rank << np.uint64(32)) | np.where(left > depth, tail, np.uint64(0)))
+            tail[: max(0, n - depth)] = rank[depth:] + np.uint64(1)
+            rows_, rank = _ranked((rank << np.uint64(bits)) | np.where(left > depth, tail, np.uint64(0)), 2 * bits)
             depth *= 2
-        rows_ = np.argsort(rank, kind="stable")
+            if depth <= SPAN:
+                half, half_depth = rank, depth
         before = np.where(rows_ == self.starts[owner[rows_]], np.uint8(SEPARATOR), self.text[rows_ - 1])
         first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
         self.first, self.head = first, before[first]
         self.last = np.concatenate([first[1:], [n]]) - 1
         self.at_first, self.at_last = rows_[self.first], rows_[self.last]
+        self.run = np.repeat(np.arange(len(first), dtype=np.int32), self.last - self.first + 1)
         # Where LF takes the first row of each run: the rows of smaller bytes, then this byte's runs before it. Separators sort as the empty rest: first.
         size = self.last - self.first + 1
         order = np.argsort(np.where(self.head == SEPARATOR, 0, self.head.astype(np.int64) + 1), kind="stable")
@@ -200,24 +202,32 @@ class RunLengthIndex:
         self.to[order] = np.cumsum(size[order]) - size[order]
         self.of_byte = self.head.astype(np.int64) << 40 | np.arange(len(first))
         self.of_byte.sort()
-        # Rows with the same SPAN bytes are neighbours; two ranks of 32 bytes tell.
+        # Rows with the same SPAN bytes are neighbours; ranks of fewer bytes at a few places tell.
         long = left[rows_] >= SPAN
         self.least = np.full(n, np.iinfo(np.int64).max)
         if long.any():
             where = rows_[long]
-            a, b = half[where], half[where + SPAN - 32]
-            group = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            differ = np.zeros(len(where) - 1, bool)
+            for o in (*range(0, SPAN - half_depth, half_depth), SPAN - half_depth):
+                r = half[where + o]
+                differ |= r[1:] != r[:-1]
+            group = np.flatnonzero(np.concatenate([[True], differ]))
             low = np.minimum.reduceat(docs[owner[where]], group)
             self.least[long] = np.repeat(low, np.diff(np.concatenate([group, [len(where)]])))
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many bytes the suffixes at a and b share, up to ``most`` and no separator."""
         out, live = np.zeros(len(a), np.int64), np.arange(len(a))
+        while len(live):  # by eight bytes, none of them a separator
+            x = self.eight[a[live] + out[live]]
+            live = live[(x == self.eight[b[live] + out[live]]) & (x & np.uint64(255) != 0) & (out[live] < most[live])]
+            out[live] += 8
+        live = np.flatnonzero(out < most)
         while len(live):
             x, y = self.text[a[live] + out[live]], self.text[b[live] + out[live]]
             live = live[(x == y) & (x != SEPARATOR) & (out[live] < most[live])]
             out[live] += 1
-        return out
+        return np.minimum(out, most)
 
     def matches(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Matching statistics of all strings, from their ends, side by side: (place, strings, lengths of the longest matches there, their rows).
@@ -231,7 +241,7 @@ class RunLengthIndex:
             live = np.flatnonzero(self.sizes >= k)
             byte = self.text[self.starts[live] + self.sizes[live] - k]
             q, at, m = row[live], place[live], length[live]
-            run = np.searchsorted(self.first, q, side="right") - 1
+            run = self.run[q].astype(np.int64)
             odd = np.flatnonzero(self.head[run] != byte)
             if len(odd):
                 c = byte[odd].astype(np.int64)
@@ -251,13 +261,18 @@ class RunLengthIndex:
             yield k, live, length[live], row[live]
 
 
-def _ranks(key: np.ndarray) -> np.ndarray:
-    """Dense ranks."""
-    order = np.argsort(key)
-    k = key[order]
-    out = np.empty(len(key), np.uint64)
-    out[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]])).astype(np.uint64)
-    return out
+def _ranked(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of the keys (of ``width`` bits), equal ones by place, and dense ranks; key and place are sorted as one number where they fit."""
+    n, bits = len(key), int(len(key)).bit_length()
+    if width + bits <= 64:
+        both = np.sort((key << np.uint64(bits)) | np.arange(n, dtype=np.uint64))
+        order, k = (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+    rank = np.empty(n, np.uint64)
+    rank[order] = np.cumsum(np.concatenate([[False], k[1:] != k[:-1]])[:n]).astype(np.uint64)
+    return order, rank
 
 
 def earlier(strings: list[bytes], docs: np.ndarray) -> np.ndarray:
@@ -322,7 +337,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, own in text_batches(batch, 2, BLOCK_BYTES):
-                payload = bundle(pack_text(b"".join(own)), pack_ints(np.array([len(t) for t in own])), pack_ids(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)))
+                payload = bundle(pack_text(b"".join(own), 5), pack_ints(np.array([len(t) for t in own])), pack_ids(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1), pa.array([payload], pa.binary()), pa.array([sum(map(len, own))])], ["block", "payload", "bytes"])
 
     blocks = checkpointed(texts.mapInArrow(read, "block long, payload binary, bytes long"))
@@ -330,6 +345,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seen = blocks.select("block", "payload").mapInArrow(lambda it: _seeds(it, n), MESSAGE).groupBy("key").applyInArrow(_shared, MESSAGE)
     as_text = blocks.select(F.lit(-1).cast("long").alias("key"), "block", F.lit(TEXT).alias("kind"), "payload")
     sent = checkpointed(as_text.unionByName(seen).groupBy("block").applyInArrow(lambda t: _strings(t, n), MESSAGE))
+    release(docs)
     marks = sent.where(F.col("kind") == STRINGS).groupBy("key").applyInArrow(_marks, MESSAGE)
 
     def cut(table: pa.Table) -> pa.Table:
