@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-ROW = "__tl_row"
+#: Names of our own columns: a row's number, and all of its columns in a struct.
+ROW, ALL = "__tl_row", "__tl_all"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

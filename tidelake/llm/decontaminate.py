@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import FOLD, IS_ALNUM, checkpointed, runs, text_batches
+from .common import ALL, FOLD, IS_ALNUM, checkpointed, runs, text_batches
 
 WINDOW = 8
 MIN_ITEMS = 2
@@ -171,12 +171,12 @@ def decontaminate(docs: DataFrame, tests: DataFrame, text_col: str = "text", ite
         schema = StructType(list(frame.schema.fields)).add("n_words", "long").add("ranges", RANGES).add("items", ArrayType(StringType()))
         found = frame.mapInArrow(_searcher(_broadcast(items, window), at, True), schema)
     else:
-        rows = frame.select(F.struct(*kept).alias("row"), F.monotonically_increasing_id().alias("r"))
-        texts = rows.select("r", F.col("row")[text_col].alias("text"))
+        rows = frame.select(F.struct(*kept).alias(ALL), F.monotonically_increasing_id().alias("r"))
+        texts = rows.select("r", F.col(ALL)[text_col].alias("text"))
         part = "r long, n_words long, ranges array<struct<first:bigint,end:bigint>>, items array<string>"
         parts = [checkpointed(texts.mapInArrow(_searcher(_broadcast(items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b), window), 1, False), part).where((F.size("items") > 0) | F.lit(b == 0))) for b in range(blocks)]
         whole = reduce(DataFrame.unionByName, parts).groupBy("r").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        found = rows.join(whole, "r").select("row.*", "n_words", "ranges", "items")
+        found = rows.join(whole, "r").select(f"{ALL}.*", "n_words", "ranges", "items")
     # Ranges are merged in order of their beginnings: what each adds is what is past the furthest end so far.
     merged = F.aggregate(
         F.array_sort("ranges"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, ascii_lower, checkpointed, strip, with_columns
+from .common import ALL, ROW, ascii_lower, checkpointed, strip, with_columns
 
 
 def split_lines(text: Column) -> Column:
@@ -30,9 +30,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null or empty text: one empty line, kept.  Null ids: one document, below all others.  Repeated rows: one
     document, each row treated alike.  Empty table: no rows.  Columns named like the three results are replaced.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias(ROW))
+    rows = docs.select(F.struct(*docs.columns).alias(ALL), F.monotonically_increasing_id().alias(ROW))
     lines = (
-        rows.select(ROW, F.col("row")[id_col].alias("id"), F.posexplode(F.transform(split_lines(F.col("row")[text_col]), line_key)).alias("pos", "key"))
+        rows.select(ROW, F.col(ALL)[id_col].alias("id"), F.posexplode(F.transform(split_lines(F.col(ALL)[text_col]), line_key)).alias("pos", "key"))
         .where(F.length("key") >= min_chars)
         .select(ROW, "id", "pos", F.unhex(F.md5(F.col("key").cast("binary"))).alias("hash"))
     )
@@ -49,14 +49,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy(F.col(ROW).alias("r"))
         .agg(F.collect_list("pos").alias("gone"))
     )
-    whole = split_lines(F.col("row")[text_col])
+    whole = split_lines(F.col(ALL)[text_col])
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.col("gone")), lambda i: F.get(whole, i))
     return rows.join(dropped, F.col(ROW) == F.col("r"), "left").select(
         *with_columns(
             docs,
-            "row",
+            ALL,
             {
-                "kept_text": F.when(F.col("gone").isNull(), F.coalesce(F.col("row")[text_col], F.lit(""))).otherwise(F.array_join(kept, "\n")),
+                "kept_text": F.when(F.col("gone").isNull(), F.coalesce(F.col(ALL)[text_col], F.lit(""))).otherwise(F.array_join(kept, "\n")),
                 "n_lines": F.size(whole).cast("long"),
                 "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
             },

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ROW, checkpointed, crc, mix64, strip, with_columns
+from .common import ALL, ROW, checkpointed, crc, mix64, strip, with_columns
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 32
@@ -100,9 +100,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each row is one document.  Empty table or no words: no slots.  Columns named like the results are replaced.
     """
     word = "[^\\x20\\x09-\\x0D]+"
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias(ROW))
-    size = F.when(F.length(strip(F.col("row")[text_col])) > 0, F.regexp_count(F.col("row")[text_col], F.lit(word))).otherwise(0).cast("long")
-    sized = checkpointed(rows.select(ROW, F.col("row")[id_col].alias("id"), F.col("row")[source_col].cast("string").alias("source"), size.alias("size")))
+    rows = docs.select(F.struct(*docs.columns).alias(ALL), F.monotonically_increasing_id().alias(ROW))
+    size = F.when(F.length(strip(F.col(ALL)[text_col])) > 0, F.regexp_count(F.col(ALL)[text_col], F.lit(word))).otherwise(0).cast("long")
+    sized = checkpointed(rows.select(ROW, F.col(ALL)[id_col].alias("id"), F.col(ALL)[source_col].cast("string").alias("source"), size.alias("size")))
     chunks = max(1, -(-sized.count() // ROWS_PER_CHUNK))
     sized = sized.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(chunks)))
     order = Window.partitionBy("chunk", "source").orderBy("id", "size", ROW).rowsBetween(Window.unboundedPreceding, -1)
@@ -136,7 +136,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .join(F.broadcast(plan.select(F.struct("source").alias("ps"), "source_size", "target")) if plan.count() <= 10_000 else plan.select(F.struct("source").alias("ps"), "source_size", "target"), F.col("s") == F.col("ps"))
         .select(F.col(ROW).alias("r"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     )
-    mixed = rows.join(facts, F.col(ROW) == F.col("r")).select(*with_columns(docs, "row", {c: F.col(c) for c in ("size", "source_size", "target", "taken")}))
+    mixed = rows.join(facts, F.col(ROW) == F.col("r")).select(*with_columns(docs, ALL, {c: F.col(c) for c in ("size", "source_size", "target", "taken")}))
     return mixed, drawn
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ROW, checkpointed, with_columns
+from .common import ALL, ROW, checkpointed, with_columns
 
 
 class Rule(NamedTuple):
@@ -80,9 +80,9 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, text_col
     blob is the text's SHA-256.  A text that many rows share is scanned once, one in the ledger under
     this rule version not at all.  One row is chosen for each blob from the hashes alone; only its text is shuffled.
     """
-    rows = versions.select(F.struct(*versions.columns).alias("row"), F.monotonically_increasing_id().alias(ROW))
-    text = F.coalesce(F.col("row")[text_col], F.lit(""))
-    named = rows.select("row", ROW, F.sha2(text.cast("binary"), 256).alias("blob"))
+    rows = versions.select(F.struct(*versions.columns).alias(ALL), F.monotonically_increasing_id().alias(ROW))
+    text = F.coalesce(F.col(ALL)[text_col], F.lit(""))
+    named = rows.select(ALL, ROW, F.sha2(text.cast("binary"), 256).alias("blob"))
     chosen = named.groupBy("blob").agg(F.min(ROW).alias("r"))
     if ledger is not None:
         chosen = chosen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
@@ -100,7 +100,7 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, text_col: str
     """
     named, ledger = update_ledger(docs, ledger, text_col, rules, rule_version)
     found = ledger.where(F.col("rule_version") == rule_version).select(F.col("blob").alias("b"), "spans")
-    return named.join(found, F.col("blob") == F.col("b")).select(*with_columns(docs, "row", {"blob": F.col("blob"), "secret_spans": F.col("spans")}))
+    return named.join(found, F.col("blob") == F.col("b")).select(*with_columns(docs, ALL, {"blob": F.col("blob"), "secret_spans": F.col("spans")}))
 
 
 def _joined(spans: Column) -> Column:

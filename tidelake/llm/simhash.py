@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, checkpointed, mix64, text_batches, with_columns
+from .common import ALL, ROW, checkpointed, mix64, text_batches, with_columns
 from .components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -353,8 +353,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that come first by id in their component, one for each; all columns.  Null ids come last."""
     found = similar_documents(docs, id_col, text_col, shingle, similarity)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW))[ROW].alias("r"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias(ROW))
-    return rows.join(first, F.col(ROW) == F.col("r")).select(*with_columns(docs, "row", {}))
+    rows = docs.select(F.struct(*docs.columns).alias(ALL), F.monotonically_increasing_id().alias(ROW))
+    return rows.join(first, F.col(ROW) == F.col("r")).select(*with_columns(docs, ALL, {}))
 
 
 def query(docs: DataFrame) -> DataFrame:

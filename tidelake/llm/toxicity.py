@@ -37,6 +37,8 @@ class Model(NamedTuple):
     scale: float = 1.0
     constant: float = 1.0
     weights: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0, 0.0)
+    #: Share of class 1: the score of a text without words.
+    prior: float = 0.0
 
 
 def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,6 +119,8 @@ def evidence(model: Model, n: int, scores: list[float]) -> list[float]:
 
 
 def probability(model: Model, n: int, found: list[tuple[int, int, float]]) -> float:
+    if not n:
+        return model.prior
     x = float(np.dot(model.weights, evidence(model, n, [y[2] for y in found])))
     return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
@@ -193,15 +197,15 @@ def calibrate(model: Model, rows: DataFrame) -> Model:
             p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
             h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * 0.01
             w += np.clip(np.linalg.solve(h, x.T @ (y - p) - 0.01 * w), -5, 5)
-        model = model._replace(weights=tuple(w))
+        model = model._replace(weights=tuple(w), prior=float(y.mean()))
     return model
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, n_words, passages): the probability of class 1, and every significant passage with its first and last word (by number) and its score.
 
-    A map over rows; the model has a fixed size and is broadcast.  Null or empty text: no words, no passages, the score of no
-    evidence.  Null ids and repeated rows pass through.  Empty table: no rows.  Other columns are left out.
+    A map over rows; the model has a fixed size and is broadcast.  Null or empty text: no words, no passages, the share of class 1
+    as score.  Null ids and repeated rows pass through.  Empty table: no rows.  Other columns are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType
