@@ -13,7 +13,6 @@ from pyspark.sql.types import StructType
 from tidelake.operators.frame import W, ZFrame, _list
 
 from .graph import Context, ContextMismatch, Graph, Input, Node, Output, Relation, Source, written
-from .storage import checkpointed
 
 R = TypeVar("R")
 #: Rounds of feedback in one commit after which a program counts as endless.
@@ -57,7 +56,7 @@ class Sink(Output):
         self.fresh: list[DataFrame] = []
 
     def step(self, changes: list[ZFrame | None]) -> None:
-        change = written(changes[0])
+        change = written(changes[0], self)
         if change is not None:
             self.fresh.append(change.df)
 
@@ -89,11 +88,12 @@ class OrderedFeed(Feeder):
             self.pending = df if self.pending is None else self.pending.unionByName(df)
         if self.pending is None:
             return False
-        self.pending = checkpointed(ZFrame(self.pending).consolidate().df)
-        least = self.pending.agg(F.min(F.struct(self.key)).alias("k")).first()["k"]
-        if least is None:
+        pending = written(ZFrame(self.pending), self.output)
+        if pending is None:
             self.pending = None
             return False
+        self.pending = pending.df
+        least = self.pending.agg(F.min(F.struct(self.key)).alias("k")).first()["k"]
         mine = F.col(self.key).eqNullSafe(F.lit(least[0]))
         self.target.send_all(self.pending.where(mine).select(*self.target.source.schema.names, W))
         self.pending = self.pending.where(~mine)
@@ -104,7 +104,7 @@ class WhileFeed(Feeder):
     """Sends the whole output, again and again until it is empty."""
 
     def visit(self) -> bool:
-        now = written(self.output.frame())
+        now = written(self.output.frame(), self.output)
         if now is None:
             return False
         self.target.send_all(now.df.select(*self.target.source.schema.names, W))

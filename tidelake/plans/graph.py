@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from tidelake.operators.frame import W, ZFrame, _list, rows_of
 from tidelake.operators.outputs import by_key, extrema, flat
 
-from .storage import State, checkpointed, union
+from .storage import FEW, State, checkpointed, local, union
 
 
 class ContextMismatch(ValueError):
@@ -46,7 +46,7 @@ class Node:
         self.inputs = [Edge(s) for s in sources]
         self.readers: list[Edge] = []
         self.receivers: list[Callable[[], None]] = []
-        self.dirty = False
+        self.dirty = self.large = False
         for e in self.inputs:
             e.source.readers.append(e)
         graph.register(self)
@@ -102,10 +102,21 @@ class Linear(Node):
         return self.f(changes[0])
 
 
-def written(z: ZFrame) -> ZFrame | None:
-    """Consolidated and written, None if empty."""
-    df = checkpointed(z.consolidate().df)
-    return None if df.isEmpty() else ZFrame(df)
+def written(z: ZFrame, owner: Node) -> ZFrame | None:
+    """Consolidated and computed once, None if empty.
+
+    A change of up to FEW rows, counted through a limit, becomes a local relation: no files, and joins with it need no shuffle. One
+    that had more is written, and the next one of its owner is at once, until one is small again.
+    """
+    df = z.consolidate().df
+    if not owner.large:
+        few = local(df)
+        if few is not None:
+            return None if few.isEmpty() else ZFrame(few)
+    df = checkpointed(df)
+    n = df.limit(FEW + 1).count()
+    owner.large = n > FEW
+    return ZFrame(df) if n else None
 
 
 class Multilinear(Node):
@@ -119,13 +130,13 @@ class Multilinear(Node):
     def step(self, changes: list[ZFrame | None]) -> ZFrame | None:
         terms = []
         for i, change in enumerate(changes):
-            change = written(change) if change is not None else None
+            change = written(change, self) if change is not None else None
             if change is None:
                 continue
             if all(s.parts for k, s in enumerate(self.states) if k != i):
                 terms.append(self.f(*[change if k == i else ZFrame(s.frame()) for k, s in enumerate(self.states)]).df)
             self.states[i].add(change.df)
-        return written(ZFrame(union(terms))) if terms else None
+        return written(ZFrame(union(terms)), self) if terms else None
 
 
 class Anti(Node):
@@ -138,8 +149,8 @@ class Anti(Node):
 
     def step(self, changes: list[ZFrame | None]) -> ZFrame | None:
         terms, keys = [], ZFrame(self.right.frame())
-        a = written(changes[0]) if changes[0] is not None else None
-        b = written(changes[1].map(*self.on)) if changes[1] is not None else None
+        a = written(changes[0], self) if changes[0] is not None else None
+        b = written(changes[1].map(*self.on), self) if changes[1] is not None else None
         if a is not None:
             terms.append(a.antijoin(keys, self.on))
             self.left.add(a.df)
@@ -152,7 +163,7 @@ class Anti(Node):
                 now = ZFrame(self.left.frame())
                 # Keys that appear on the right take rows away, keys that go give them back.
                 terms.append(now.semijoin(before.minus(after).consolidate(), self.on))
-        return written(ZFrame(union([t.df for t in terms]))) if terms else None
+        return written(ZFrame(union([t.df for t in terms])), self) if terms else None
 
 
 class Group(Node):
@@ -164,14 +175,14 @@ class Group(Node):
         self.state, self.result = State(sources[0].empty), State(self.empty)
 
     def step(self, changes: list[ZFrame | None]) -> ZFrame | None:
-        change = written(changes[0])
+        change = written(changes[0], self)
         if change is None:
             return None
         self.state.add(change.df)
         # Keys of all changed rows: net counts of keys would hide one whose values only swap.
         touched = ZFrame.of(change.df.select(*self.keys).distinct()) if self.keys else None
         of = lambda s: ZFrame(s.frame()) if touched is None else ZFrame(s.frame()).semijoin(touched, self.keys)
-        out = written(self.f(of(self.state)).minus(of(self.result)))  # unchanged results cancel out
+        out = written(self.f(of(self.state)).minus(of(self.result)), self)  # unchanged results cancel out
         if out is not None:
             self.result.add(out.df)
         return out
@@ -370,7 +381,7 @@ class Output(Node):
         self.receivers.append(f)
 
     def step(self, changes: list[ZFrame | None]) -> None:
-        change = written(changes[0])
+        change = written(changes[0], self)
         if change is not None:
             self.state.add(change.df)
 

@@ -25,6 +25,16 @@ def union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+#: Rows up to which a result is kept in plans as a local relation; larger ones are written to the checkpoint folder.
+FEW = 2000
+
+
+def local(df: DataFrame) -> DataFrame | None:
+    """``df`` as a local relation if it has up to FEW rows, counted through a limit; else None."""
+    few = df.limit(FEW + 1).toArrow()
+    return df.sparkSession.createDataFrame(few, df.schema) if few.num_rows <= FEW else None
+
+
 class State:
     """A signed multiset as a list of written changes, merged when they are many: a commit costs what it changes, not what there is."""
 
@@ -35,7 +45,8 @@ class State:
         self.parts.append(change)
         if len(self.parts) > MOST_PARTS:
             columns = [c for c in self.empty.columns if c != "w"]
-            self.parts = [checkpointed(union(self.parts).groupBy(*columns).agg(F.sum("w").alias("w")).where("w <> 0"))]
+            merged = union(self.parts).groupBy(*columns).agg(F.sum("w").alias("w")).where("w <> 0")
+            self.parts = [local(merged) or checkpointed(merged)]
 
     def frame(self) -> DataFrame:
         return union(self.parts) if self.parts else self.empty
