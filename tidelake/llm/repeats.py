@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, bundle, checkpointed, mix64, pack_ints, release, runs, span_hashes, text_batches, unbundle, unpack_ints
+from .common import ROW, bundle, checkpointed, mix64, pack_ints, runs, span_hashes, text_batches, unbundle, unpack_ints
 
 #: Length of a repeated string, of the strings by whose least hash its windows are dealt out, and so how many of these a window has.
 SPAN, SEED = 50, 28
@@ -19,7 +19,7 @@ BLOCK_BYTES, PART_BYTES, LEAST_PARTS = 4 << 20, 4 << 20, 48
 CHUNK = 1 << 20
 SEPARATOR = 0xFF  # never a byte of UTF-8
 MESSAGE = "key long, block long, kind int, payload binary"
-TEXT, SEEN, STRINGS, PLAN, MARKS = range(5)
+TEXT, SEEN, STRINGS, MARKS = range(4)
 
 
 def rows(items: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -130,32 +130,48 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([rows(out)])
 
 
-def _strings(table: pa.Table, n: int) -> pa.Table:
-    """For each part: the different strings of a block's runs with shared seeds, and which documents have them; for the block: where these are."""
-    data = sizes = ids = None
-    shared = []
-    for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
-        if kind == TEXT:
-            data, sizes, ids = _block(payload)
-        else:
-            shared.append(unpack_ints(payload))
-    number, p = table.column("block")[0].as_py(), pieces(data, sizes)
-    known = np.sort(np.concatenate(shared or [p.seed[:0]]))
+class Shared(NamedTuple):
+    """A block's runs with shared seeds: places, numbers of windows, the slot (string and document) of each; per part in order: its slots' strings (a run that has it) and documents."""
+
+    start: np.ndarray
+    count: np.ndarray
+    slot: np.ndarray
+    parts: list[tuple[int, np.ndarray, np.ndarray]]
+    text: np.ndarray
+
+
+def shared_runs(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, seeds: list[bytes], n: int) -> Shared:
+    p = pieces(data, sizes)
+    known = np.sort(np.concatenate([*map(unpack_ints, seeds), p.seed[:0]]))
     at = np.searchsorted(known, p.seed)
     own = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == p.seed) if len(known) else at[:0]
     start, count, seed = p.start[own], p.count[own], p.seed[own]
-    end = start + count + SPAN - 1
     doc = ids[np.searchsorted(np.cumsum(sizes), start, side="right")] if len(start) else ids[:0]
-    text = span_hashes(data, start, end) if len(start) else seed
+    text = span_hashes(data, start, start + count + SPAN - 1) if len(start) else seed
     _, first, pair = np.unique(mix64(text ^ mix64(doc.view(np.uint64))), return_index=True, return_inverse=True)
-    slot, base, out = np.empty(len(first), np.int64), 0, []
-    for k, at in by_part((seed[first] % np.uint64(n)).astype(np.int64)):
+    slot, base, parts = np.empty(len(first), np.int64), 0, []
+    for k, at in by_part((seed[first] % np.uint64(n)).astype(np.int64)) if len(first) else ():
         slot[at] = base + np.arange(len(at))
         base += len(at)
-        hashes, one, string = np.unique(text[first[at]], return_index=True, return_inverse=True)
-        lead = first[at][one]
-        out.append((k, number, STRINGS, bundle(pack_ints(hashes, True), pack_ints(end[lead] - start[lead]), pack_text(b"".join(data[a:b].tobytes() for a, b in zip(start[lead], end[lead], strict=True))), pack_ints(string), pack_ids(doc[first[at]]))))
-    out.append((-1, number, PLAN, bundle(pack_ints(start, True), pack_ints(count), pack_ints(slot[pair]))))
+        parts.append((k, first[at], doc[first[at]]))
+    return Shared(start, count, slot[pair], parts, text)
+
+
+def _strings(table: pa.Table, n: int) -> pa.Table:
+    """For each part: the different strings of a block's runs with shared seeds, and which documents have them."""
+    block, seeds = None, []
+    for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
+        if kind == TEXT:
+            block = _block(payload)
+        else:
+            seeds.append(payload)
+    data, number = block[0], table.column("block")[0].as_py()
+    s, out = shared_runs(*block, seeds, n), []
+    end = s.start + s.count + SPAN - 1
+    for k, runs_, docs in s.parts:
+        hashes, one, string = np.unique(s.text[runs_], return_index=True, return_inverse=True)
+        lead = runs_[one]
+        out.append((k, number, STRINGS, bundle(pack_ints(hashes, True), pack_ints(end[lead] - s.start[lead]), pack_text(b"".join(data[a:b].tobytes() for a, b in zip(s.start[lead], end[lead], strict=True))), pack_ints(string), pack_ids(docs))))
     return pa.Table.from_batches([rows(out)])
 
 
@@ -307,15 +323,12 @@ def _marks(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([rows([(part, b, MARKS, pack_ints(((least[o] < a[4][:, None]) * bit).sum(axis=1, dtype=np.uint64))) for b, o, a in zip(blocks, owner, asked, strict=True)])])
 
 
-def removed(data: np.ndarray, plan: bytes, answers: dict[int, bytes]) -> np.ndarray:
+def removed(data: np.ndarray, runs_: Shared, answers: dict[int, bytes]) -> np.ndarray:
     """Which bytes of a block go."""
-    start, count, slot = map(unpack_ints, unbundle(plan))
-    bits = np.concatenate([unpack_ints(answers[k]) for k in sorted(answers)] or [np.zeros(0, np.uint64)])
-    bits, start = bits[slot.astype(np.int64)], start.astype(np.int64)
+    bits = np.concatenate([*[unpack_ints(answers[k]) for k, _, _ in runs_.parts], np.zeros(0, np.uint64)])[runs_.slot]
     hit = np.zeros(len(data) + 1, np.int32)
     for k in range(SEEDS):
-        on = ((bits >> np.uint64(k)) & np.uint64(1) > 0) & (count > k)
-        hit[start[on] + k] = 1
+        hit[runs_.start[(bits >> np.uint64(k)) & np.uint64(1) > 0] + k] = 1
     total = np.cumsum(hit)[: len(data)]
     total[SPAN:] -= total[: len(data) - SPAN].copy() if len(data) > SPAN else 0
     return total > 0
@@ -342,23 +355,22 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     blocks = checkpointed(texts.mapInArrow(read, "block long, payload binary, bytes long"))
     n = max(LEAST_PARTS, blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // PART_BYTES)
-    seen = blocks.select("block", "payload").mapInArrow(lambda it: _seeds(it, n), MESSAGE).groupBy("key").applyInArrow(_shared, MESSAGE)
-    as_text = blocks.select(F.lit(-1).cast("long").alias("key"), "block", F.lit(TEXT).alias("kind"), "payload")
-    sent = checkpointed(as_text.unionByName(seen).groupBy("block").applyInArrow(lambda t: _strings(t, n), MESSAGE))
-    release(docs)
-    marks = sent.where(F.col("kind") == STRINGS).groupBy("key").applyInArrow(_marks, MESSAGE)
+    seen = checkpointed(blocks.select("block", "payload").mapInArrow(lambda it: _seeds(it, n), MESSAGE).groupBy("key").applyInArrow(_shared, MESSAGE))
+    asked = blocks.select(F.lit(-1).cast("long").alias("key"), "block", F.lit(TEXT).alias("kind"), "payload").unionByName(seen)
+    # The strings are the bulk of what moves, so they are shuffled once and not kept; where they came from is found again for the answers.
+    marks = checkpointed(asked.groupBy("block").applyInArrow(lambda t: _strings(t, n), MESSAGE).groupBy("key").applyInArrow(_marks, MESSAGE))
 
     def cut(table: pa.Table) -> pa.Table:
-        answers, plan, block = {}, None, None
+        answers, seeds, block = {}, [], None
         for key, kind, payload in zip(*[table.column(c).to_pylist() for c in ("key", "kind", "payload")], strict=True):
             if kind == TEXT:
                 block = _block(payload)
-            elif kind == PLAN:
-                plan = payload
+            elif kind == SEEN:
+                seeds.append(payload)
             else:
                 answers[key] = payload
         data, sizes, ids = block
-        gone = removed(data, plan, answers)
+        gone = removed(data, shared_runs(data, sizes, ids, seeds, n), answers)
         out, a = [], 0
         for size, i in zip(sizes.tolist(), ids.tolist(), strict=True):
             own = gone[a : a + size]
@@ -368,8 +380,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])), pa.binary()]
         return pa.Table.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["id", "n_bytes", "spans", "kept"])
 
-    whole = as_text.unionByName(sent.where(F.col("kind") == PLAN)).unionByName(marks)
-    return whole.groupBy("block").applyInArrow(cut, "id long, n_bytes long, spans array<struct<first: bigint, end: bigint>>, kept binary")
+    return asked.unionByName(marks).groupBy("block").applyInArrow(cut, "id long, n_bytes long, spans array<struct<first: bigint, end: bigint>>, kept binary")
 
 
 def query(docs: DataFrame) -> DataFrame:
