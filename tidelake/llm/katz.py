@@ -25,20 +25,20 @@ TEXT, WORDS, COUNTS, CONTEXTS, STATS, WEIGHTS = range(6)
 
 
 class Block(NamedTuple):
-    """Texts of one part of the corpus: tokens in each, whether it is for training, hashes of the different words (by falling frequency, so that numbers compress), numbers of the tokens."""
+    """Texts of one part of the corpus: tokens in each, whether it is for training, numbers of the tokens (words by falling frequency, which compresses), and each word's place among the block's words in order of their hashes."""
 
     sizes: np.ndarray
     train: np.ndarray
-    hashes: np.ndarray
     tokens: np.ndarray
+    place: np.ndarray
 
     def pack(self) -> bytes:
-        return bundle(pack_ints(self.sizes), pack_ints(self.train), pack_ints(self.hashes), pack_ints(self.tokens))
+        return bundle(pack_ints(self.sizes), pack_ints(self.train), pack_ints(self.tokens), pack_ints(self.place))
 
     @classmethod
     def unpack(cls, b: bytes) -> Block:
-        sizes, train, hashes, tokens = map(unpack_ints, unbundle(b))
-        return cls(sizes.astype(np.int64), train.astype(bool), hashes, tokens.astype(np.int64))
+        sizes, train, tokens, place = map(unpack_ints, unbundle(b))
+        return cls(sizes.astype(np.int64), train.astype(bool), tokens.astype(np.int64), place.astype(np.int64))
 
     def trained(self) -> np.ndarray:
         """Whether each token is for training."""
@@ -48,11 +48,12 @@ class Block(NamedTuple):
         """The number of the token before each; of a first one, the number after all words'."""
         out = np.empty_like(self.tokens)
         out[1:] = self.tokens[:-1]
-        out[np.cumsum(self.sizes) - self.sizes] = len(self.hashes)
+        out[np.cumsum(self.sizes) - self.sizes] = len(self.place)
         return out
 
 
-def read_block(texts: list[bytes], train: np.ndarray) -> Block:
+def read_block(texts: list[bytes], train: np.ndarray) -> tuple[Block, np.ndarray]:
+    """A block, and the hashes of its words in order."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
     s, e = runs(~IS_SPACE[data])
@@ -66,7 +67,7 @@ def read_block(texts: list[bytes], train: np.ndarray) -> Block:
     order = np.argsort(-n, kind="stable")
     number = np.empty(len(order), np.int64)
     number[order] = np.arange(len(order))
-    return Block(sizes, train, hashes[order], number[tokens])
+    return Block(sizes, train, number[tokens], order), hashes
 
 
 def discounts(n: np.ndarray, k: int = K) -> np.ndarray:
@@ -120,20 +121,24 @@ def by_part(parts: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield p, order[edges[p] : edges[p + 1]]
 
 
-def word_requests(block: Block, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Parts of the words' table and the words to ask there for, by hash."""
-    order = np.argsort(block.hashes)
-    for p, at in by_part((block.hashes[order] % np.uint64(n)).astype(np.int64), n):
-        yield p, order[at]
+def word_parts(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Parts by range of hash: a block's words in order of hash are in order of part, so answers in order of part are in order of hash."""
+    return (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def in_order(answers: dict[int, list[np.ndarray]], block: Block) -> list[np.ndarray]:
+    """Arrays by word number out of the parts' answers."""
+    return [np.concatenate(x)[block.place] for x in zip(*[answers[p] for p in sorted(answers)], strict=True)]
 
 
 def _asked(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """For each block and part of the words' table: the hashes and their training counts."""
     for batch in batches:
-        for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-            b = Block.unpack(payload)
-            c = np.bincount(b.tokens[b.trained()], minlength=len(b.hashes))
-            yield rows([(p, number, WORDS, bundle(pack_ints(b.hashes[at], True), pack_ints(c[at])), None) for p, at in word_requests(b, n)])
+        for number, payload, words in zip(*[batch.column(c).to_pylist() for c in ("block", "payload", "words")], strict=True):
+            b, hashes = Block.unpack(payload), unpack_ints(words)
+            c = np.empty(len(hashes), np.int64)
+            c[b.place] = np.bincount(b.tokens[b.trained()], minlength=len(hashes))
+            yield rows([(p, number, WORDS, bundle(pack_ints(hashes[at], True), pack_ints(c[at])), None) for p, at in by_part(word_parts(hashes, n), n)])
 
 
 def _words(table: pa.Table, n: int) -> pa.Table:
@@ -166,12 +171,9 @@ class Known(NamedTuple):
 
     @classmethod
     def of(cls, block: Block, answers: dict[int, bytes], n: int) -> Known:
-        ids, counts = np.zeros(len(block.hashes) + 1, np.int64), np.ones(len(block.hashes) + 1, np.int64)
-        for p, at in word_requests(block, n):
-            a, b = map(unpack_ints, unbundle(answers[p]))
-            ids[at], counts[at] = a.astype(np.int64), b.astype(np.int64)
+        ids, counts = in_order({p: [x.astype(np.int64) for x in map(unpack_ints, unbundle(a))] for p, a in answers.items()}, block)
         # The number after all words' is the context of first words: id 0, never asked about.
-        width = len(block.hashes) + 1
+        ids, counts, width = np.append(ids, 0), np.append(counts, 1), len(block.place) + 1
         pairs, bigram = np.unique(block.contexts() * width + block.tokens, return_inverse=True)
         return cls(block, ids, counts, pairs // width, pairs % width, bigram)
 
@@ -271,16 +273,13 @@ def _weights(table: pa.Table, n: int, d: np.ndarray, starts: int) -> pa.Table:
 def score_block(k: Known, answers: dict[int, bytes], weights: dict[int, bytes], n: int, uni: Unigrams, d: np.ndarray, starts: int, first: tuple[float, float]) -> dict[str, np.ndarray]:
     """Of each text: tokens, known ones, base score and the model's.  ``starts`` and ``first``: count and weights of the context of first words."""
     b = k.block
-    weight, scale = np.ones(len(b.hashes) + 1), np.ones(len(b.hashes) + 1)
-    for p, at in word_requests(b, n):
-        w, s = unbundle(weights[p])
-        weight[at], scale[at] = np.frombuffer(w), np.frombuffer(s)
-    weight[-1], scale[-1] = first
+    weight, scale = in_order({p: [np.frombuffer(x) for x in unbundle(a)] for p, a in weights.items()}, b)
+    weight, scale = np.append(weight, first[0]), np.append(scale, first[1])
     c = np.zeros(len(k.contexts), np.int64)
     for p, at in k.requests(n):
         c[at] = unpack_ints(answers[p]).astype(np.int64)
     lower = uni.probability(k.counts[k.words])
-    seen, total = c > 0, np.where(k.contexts == len(b.hashes), starts, k.counts[k.contexts])
+    seen, total = c > 0, np.where(k.contexts == len(b.place), starts, k.counts[k.contexts])
     p2 = np.where(seen, scale[k.contexts] * d[np.minimum(c, K) * (c <= K)] * c / np.maximum(total, 1), weight[k.contexts] * lower)
     logs = np.log10(p2)[k.bigram]
     base = np.log10((k.counts[:-1] + 1) / (uni.total + uni.kinds + 1))[b.tokens]
@@ -321,17 +320,17 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, own in text_batches(batch, 3, BLOCK_BYTES):
-                block = read_block(own, np.array(batch.column(2).slice(a, b - a).to_pylist(), bool))
+                block, hashes = read_block(own, np.array(batch.column(2).slice(a, b - a).to_pylist(), bool))
                 ids = pa.ListArray.from_arrays([0, b - a], batch.column(1).slice(a, b - a))
                 n = [float(len(block.tokens)), float(block.train.sum())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1), ids, pa.array([block.pack()], pa.binary()), pa.array([n], pa.list_(pa.float64()))], ["block", "ids", "payload", "stats"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1), ids, pa.array([block.pack()], pa.binary()), pa.array([pack_ints(hashes, True)], pa.binary()), pa.array([n], pa.list_(pa.float64()))], ["block", "ids", "payload", "words", "stats"])
 
-    blocks = checkpointed(texts.mapInArrow(tokenise, f"block long, ids array<{kind}>, payload binary, stats array<double>"))
+    blocks = checkpointed(texts.mapInArrow(tokenise, f"block long, ids array<{kind}>, payload binary, words binary, stats array<double>"))
     all_tokens, starts = blocks.agg(F.coalesce(F.sum(F.col("stats")[0]), F.lit(0.0)), F.coalesce(F.sum(F.col("stats")[1]), F.lit(0.0))).first()
     n, starts = max(LEAST_PARTS, int(all_tokens) // PART_TOKENS), int(starts)
     by_key = lambda df, f: df.groupBy("key").applyInArrow(f, MESSAGE)
 
-    words = checkpointed(by_key(blocks.select("block", "payload").mapInArrow(lambda it: _asked(it, n), MESSAGE), lambda t: _words(t, n)))
+    words = checkpointed(by_key(blocks.select("block", "payload", "words").mapInArrow(lambda it: _asked(it, n), MESSAGE), lambda t: _words(t, n)))
     total, kinds, *of_counts = _sums(words) or [0.0] * (K + 4)
     uni = Unigrams.of(total, kinds, np.array(of_counts))
     _release(docs)
