@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, bundle, checkpointed, mix64, pack_ints, runs, span_hashes, text_batches, unbundle, unpack_ints
+from .common import ROW, bundle, checkpointed, mix64, pack_ints, release, runs, span_hashes, text_batches, unbundle, unpack_ints
 
 #: Length of a repeated string, of the strings by whose least hash its windows are dealt out, and so how many of these a window has.
 SPAN, SEED = 50, 28
 SEEDS = SPAN - SEED + 1
-BLOCK_BYTES, PART_BYTES, LEAST_PARTS = 4 << 20, 4 << 20, 48
+#: With parts of this size, places in a part's strings take 21 bits, so that two ranks and a place are sorted as one number.
+BLOCK_BYTES, PART_BYTES, LEAST_PARTS = 4 << 20, 2 << 20, 48
 CHUNK = 1 << 20
 SEPARATOR = 0xFF  # never a byte of UTF-8
 MESSAGE = "key long, block long, kind int, payload binary"
@@ -356,9 +357,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = checkpointed(texts.mapInArrow(read, "block long, payload binary, bytes long"))
     n = max(LEAST_PARTS, blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // PART_BYTES)
     seen = checkpointed(blocks.select("block", "payload").mapInArrow(lambda it: _seeds(it, n), MESSAGE).groupBy("key").applyInArrow(_shared, MESSAGE))
+    release(docs)
     asked = blocks.select(F.lit(-1).cast("long").alias("key"), "block", F.lit(TEXT).alias("kind"), "payload").unionByName(seen)
     # The strings are the bulk of what moves, so they are shuffled once and not kept; where they came from is found again for the answers.
     marks = checkpointed(asked.groupBy("block").applyInArrow(lambda t: _strings(t, n), MESSAGE).groupBy("key").applyInArrow(_marks, MESSAGE))
+    release(docs)
 
     def cut(table: pa.Table) -> pa.Table:
         answers, seeds, block = {}, [], None
