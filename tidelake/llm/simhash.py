@@ -1,4 +1,4 @@
-"""SimHash near-dedup with keys from the binary Golay code."""
+"""Near-dedup: SimHash with keys from the binary Golay code; MinHash with links decided on the shingles."""
 
 from __future__ import annotations
 
@@ -266,87 +266,216 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(known, F.col("print") == F.col("p")).select(ROW, "id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Texts of a given similarity have prints that differ in more bits than keys on 64 bits can bridge: longer prints, more segments.
+# Texts of a given similarity: candidates share a key of MinHash values, and links are decided on the shingles themselves.
 
-#: Segments of 23 bits for keys, each pair of which is one key of two decoded words; words of 64 bits to verify with.
-WIDE_SEGMENTS, PRINT_WORDS = 12, 2
-WORDS = -(-WIDE_SEGMENTS * LENGTH // 64) + PRINT_WORDS
+#: MinHash values in a key; chance that texts at the wanted similarity share a key, which sets the number of keys; bits of a sketch.
+KEY_VALUES, RECALL, SKETCH = 5, 0.9999, 128
+#: Deviations past the expected difference up to which two sketches' texts are compared.
+DEVIATIONS = 5
+#: Of a large group's member: partners that it is compared with in the second round.
+CLOSEST = 8
 
 
-def wide_print(text: bytes, shingle: int) -> np.ndarray:
-    """WORDS x 64 bits of SimHash: each shingle's hash is spread to as many words by a bijection; zeros without words."""
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's different shingles of words; a text with fewer words is one shingle, one without words has none."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return np.zeros(WORDS, np.uint64)
+        return np.zeros(0, np.uint64)
     k = min(shingle, len(words))
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]).tolist()
     digest = xxhash.xxh64_digest
-    h = np.frombuffer(b"".join([digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends[:-1]][: len(words) - k + 1], ends[k - 1 :], strict=True)]), np.uint64)
-    salts = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    counts = np.zeros(WORDS * 64, np.int64)
-    for i in range(0, len(h), 255):  # as many as fit in a byte
-        bits = np.unpackbits(mix64(h[i : i + 255, None] + salts).view(np.uint8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * counts > len(h)).view(np.uint64)
+    return np.unique(np.frombuffer(b"".join([digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends[:-1]][: len(words) - k + 1], ends[k - 1 :], strict=True)]), np.uint64))
 
 
-def wide_segments(prints: np.ndarray) -> np.ndarray:
-    """Decoded words (12 bits) of the segments of each print: prints x WIDE_SEGMENTS."""
-    nearest, _, _ = decoding()
-    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1)[:, : WIDE_SEGMENTS * LENGTH].reshape(len(prints), WIDE_SEGMENTS, LENGTH)
-    w = (bits.astype(np.uint32) << np.arange(LENGTH, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
-    return (w ^ nearest[syndromes(w)]) >> np.uint32(CHECKS)
+def keys_at(similarity: float) -> int:
+    """Keys of which texts at this similarity share one with a chance of RECALL at least."""
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity: over 0, up to 1")
+    return 1 if similarity == 1 else int(np.ceil(np.log(1 - RECALL) / np.log1p(-(similarity**KEY_VALUES))))
 
 
 def bits_at(similarity: float) -> int:
-    """Bits in PRINT_WORDS words in which prints of sets with this Jaccard similarity differ on average: an angle, whose cosine is 2s / (1 + s)."""
-    return round(PRINT_WORDS * 64 * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+    """Bits in which sketches at this similarity differ, DEVIATIONS past the mean: each differs with a chance of (1 - s) / 2."""
+    p = (1 - similarity) / 2
+    return int(np.ceil(SKETCH * p + DEVIATIONS * np.sqrt(SKETCH * p * (1 - p))))
+
+
+def minhashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The least value of a set (not empty) in each of ``n`` permutations."""
+    salts = mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+    out = np.full(n, ~np.uint64(0))
+    for i in range(0, len(hashes), 1024):
+        np.minimum(out, ((hashes[i : i + 1024, None] ^ salts) * salts).min(axis=0), out=out)
+    return out
+
+
+def keys_and_sketches(values: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts' MinHash values (texts x values): keys, each over values of its own; sketches, a bit of each of the first SKETCH values."""
+    k = np.broadcast_to(np.arange(keys, dtype=np.uint64), (len(values), keys))
+    for j in range(KEY_VALUES):
+        k = mix64(k ^ values[:, j : keys * KEY_VALUES : KEY_VALUES])
+    return k, np.packbits(((values[:, :SKETCH] >> np.uint64(40)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64)
+
+
+def key_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows (columns x rows, the first being the key) in order of the key, cut only between keys."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns])
+        if not rows.shape[1]:
+            continue
+        cut = int(np.argmax(rows[0] == rows[0, -1]))
+        if cut or (held and held[-1][0, -1] != rows[0, 0]):
+            yield np.concatenate([*held, rows[:, :cut]], axis=1)
+            held = []
+        held.append(rows[:, cut:])
+    if held:
+        yield np.concatenate(held, axis=1)
+
+
+def bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and sizes of the runs of equal keys."""
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return first, np.diff(first, append=len(keys))
+
+
+def proposed(nodes: np.ndarray, roots: np.ndarray, sketches: np.ndarray, limit: int, round_: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of one large group's members to be compared, of different roots and with sketches within ``limit``.
+
+    Round 0: each with its nearest hub, hubs being the least members that no hub before is near to. Round 1: members
+    outside of the largest component with their closest ones. Round 2: these with all. What is left out after that is connected.
+    """
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if round_ == 0:
+        rest = np.argsort(nodes)
+        while len(rest) > 1:
+            hub, rest = rest[0], rest[1:]
+            near = differing(sketches[rest], sketches[hub]) <= limit
+            left.append(np.full(int(near.sum()), hub))
+            right.append(rest[near])
+            rest = rest[~near]
+        return np.concatenate(left), np.concatenate(right)
+    names, sizes = np.unique(roots, return_counts=True)
+    for x in np.flatnonzero(roots != names[np.argmax(sizes)]):
+        far = differing(sketches, sketches[x])
+        y = np.flatnonzero((far <= limit) & (roots != roots[x]))
+        if round_ == 1:
+            y = y[np.argsort(far[y], kind="stable")[:CLOSEST]]
+        left.append(np.full(len(y), x))
+        right.append(y)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _proposer(limit: int, round_: int):
+    """Rows (key, node, sketch's two words, root) in order of the key -> pairs of nodes (a, b); small groups are compared whole in round 0."""
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in key_groups(batches):
+            nodes, sketches, roots = rows[1], np.ascontiguousarray(rows[2:4].T), rows[4]
+            first, size = bounds(rows[0])
+            left, right = [], []
+            for m in np.unique(size[size <= SMALL]) if round_ == 0 else ():
+                at = first[size == m][:, None] + np.arange(m)
+                for i, j in combinations(range(int(m)), 2):
+                    near = differing(sketches[at[:, i]], sketches[at[:, j]]) <= limit
+                    left.append(at[near, i])
+                    right.append(at[near, j])
+            for a, m in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                x, y = proposed(nodes[a : a + m], roots[a : a + m], sketches[a : a + m], limit, round_)
+                left.append(a + x)
+                right.append(a + y)
+            if left:
+                x, y = nodes[np.concatenate(left)], nodes[np.concatenate(right)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y).view(np.int64)), pa.array(np.maximum(x, y).view(np.int64))], ["a", "b"])
+
+    return propose
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, sketch's two words) in order of the key -> those whose key others have too, and how many have it."""
+    for rows in key_groups(batches):
+        _, size = bounds(rows[0])
+        many = np.repeat(size, size)
+        kept = rows[:, many > 1]
+        yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in kept], pa.array(many[many > 1])], ["key", "node", "p0", "p1", "many"])
+
+
+def _alike(similarity: float):
+    """Pairs (a, b, both sets of shingles) -> those (a, b) whose Jaccard similarity is ``similarity`` or more."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.zeros(len(batch), bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1:
+                    n = len(np.intersect1d(x, y, assume_unique=True))
+                    hit[i] = n / (len(x) + len(y) - n) >= similarity
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[:2]], ["a", "b"])
+
+    return compare
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(ROW, id, component): components of documents whose shingles have about ``similarity`` or more in common, by SimHash.
+    """(ROW, id, component): components of documents linked where the Jaccard similarity of their sets of shingles is ``similarity`` or more.
 
-    Each of 12 segments of a long print is decoded to its nearest codeword, and each pair of decoded words is a key: of two texts at similarity
-    0.8, 0.85 and 0.9 some 45, 70 and 90 % share one (measured on random prints), and chains through other copies add to that.  Links are verified
-    on 128 further bits against the expected difference.  Null or empty text: as any texts without words, one component.
+    Equal sets are one node, so copies never meet in pairs. Of two texts at the threshold 99.99 % share one of the keys (24 at 0.8), each a hash of
+    five MinHash values; above it, more. Pairs of a key whose sketches are far apart (five deviations past what is expected at the threshold) are
+    left out; every other link is decided on both sets. A large group is compared in three rounds, the last of which leaves no pair
+    out but those that are connected already. Null or empty text: as any texts without words, one component.
     """
-    limit = bits_at(similarity)
+    n_keys, limit = keys_at(similarity), bits_at(similarity)
     rows = docs.select(F.monotonically_increasing_id().alias(ROW), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    packed = ["k0", "k1", "k2"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             for a, b, texts in text_batches(batch, 2):
-                prints = np.stack([wide_print(t, shingle) for t in texts])
-                seg = wide_segments(prints).astype(np.uint64)
-                keys = [sum(seg[:, 4 * i + j] << np.uint64(12 * j) for j in range(4)) for i in range(3)]
-                cols = [*[prints[:, WORDS - PRINT_WORDS + i] for i in range(PRINT_WORDS)], *keys]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in cols]], [ROW, "id", "p0", "p1", *packed])
+                sets = [shingles(t, shingle) for t in texts]
+                own = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) if len(h) else 0 for h in sets], np.uint64)
+                n = max(n_keys * KEY_VALUES, SKETCH)
+                keys, sketches = keys_and_sketches(np.stack([minhashes(h, n) if len(h) else np.zeros(n, np.uint64) for h in sets]), n_keys)
+                packed = [k.tobytes() if len(h) else b"" for k, h in zip(keys, sets, strict=True)]
+                cols = [own, *[np.ascontiguousarray(sketches[:, i]) for i in range(2)]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *[pa.array(c.view(np.int64)) for c in cols], pa.array(packed, pa.binary())], [ROW, "id", "own", "p0", "p1", "keys"])
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p0, p1, *ks = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)
-            for i in range(0, len(p0), 4000):
-                own = slice(i, i + 4000)
-                seg = [(ks[j // 4][own] >> np.uint64(12 * (j % 4))) & np.uint64(4095) for j in range(WIDE_SEGMENTS)]
-                keys = [((np.uint64(n << 24) | (seg[x] << np.uint64(12)) | seg[y]) << np.uint64(1)) | np.uint64(1) for n, (x, y) in enumerate(combinations(range(WIDE_SEGMENTS), 2))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.tile(p[own], len(keys)).view(np.int64)) for p in (p0, p1)]], ["key", "p0", "p1"])
-
-    prints = checkpointed(rows.mapInArrow(make, f"{ROW} long, id {kind}, p0 long, p1 long, k0 long, k1 long, k2 long"))
-    dealt = prints.select("p0", "p1", *packed).distinct().mapInArrow(keys_of, "key long, p0 long, p1 long").repartition("key").sortWithinPartitions("key")
-    roots = checkpointed(components(dealt.mapInArrow(_matcher(limit), "a long, b long")))
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (2, 3)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node(p).view(np.int64))], [ROW, "id", "own"])
+            if not len(batch):
+                continue
+            keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
+            cols = [pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), n_keys)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *cols], ["key", "node", "p0", "p1"])
 
-    own = prints.select(ROW, "id", "p0", "p1").mapInArrow(named, f"{ROW} long, id {kind}, own long")
-    return own.join(roots, F.col("own") == F.col("node"), "left").select(ROW, "id", F.coalesce("root", "own").alias("component"))
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in text_batches(batch, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([shingles(t, shingle).tobytes() for t in texts], pa.binary())], ["node", "set"])
+
+    prints = checkpointed(rows.mapInArrow(make, f"{ROW} long, id {kind}, own long, p0 long, p1 long, keys binary"))
+    dealt = prints.where(F.length("keys") > 0).select("own", "p0", "p1", "keys").distinct().mapInArrow(keys_of, "key long, node long, p0 long, p1 long")
+    met = checkpointed(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long, p0 long, p1 long, many long"))
+    chosen = prints.select("own", ROW).join(met.select("node").distinct(), F.col("own") == F.col("node")).groupBy("node").agg(F.min(ROW).alias("r"))
+    sets = checkpointed(rows.select(ROW, "text").join(chosen, F.col(ROW) == F.col("r")).select("node", "text").mapInArrow(sets_of, "node long, set binary"))
+    links = roots = None
+    for round_ in range(3):
+        now = met.withColumn("root", F.col("node"))
+        if round_:
+            known = roots.select(F.col("node").alias("n"), "root")
+            now = met.where(F.col("many") > SMALL).join(known, F.col("node") == F.col("n"), "left").select("key", "node", "p0", "p1", F.coalesce("root", "node").alias("root"))
+        pairs = now.select("key", "node", "p0", "p1", "root").repartition("key").sortWithinPartitions("key").mapInArrow(_proposer(limit, round_), "a long, b long").distinct()
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        found = checkpointed(both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"))
+        if links is not None and found.isEmpty():
+            continue
+        links = found if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
+        roots = checkpointed(components(links))
+    return prints.select(ROW, "id", "own").join(roots, F.col("own") == F.col("node"), "left").select(ROW, "id", F.coalesce("root", "own").alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
