@@ -66,6 +66,11 @@ def test_copies_at_the_threshold_and_above_go(spark, texts):
     assert not missed
 
 
+def test_documents_below_the_threshold_stay(spark, texts):
+    lost = firsts(texts) - kept_of(spark, texts)
+    assert not lost
+
+
 def test_keys_and_sketches_at_the_threshold():
     assert simhash.keys_at(0.8) == 24 and 1 - (1 - 0.8**simhash.KEY_VALUES) ** 24 > 0.9999
     assert simhash.bits_at(0.8) > 0.1 * simhash.SKETCH
