@@ -3,36 +3,27 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelake.plans.storage import checkpointed  # noqa: F401  (for the operators)
+
 #: The bytes 0x20 and 0x09-0x0D.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Names of our own columns: a row's number, and all of its columns in a struct.
-ROW, ALL = "__tl_row", "__tl_all"
+#: Names of our own columns: a row's number, what it is known by, and all of its columns in a struct.
+ROW, KEY, ALL = "__tl_row", "__tl_key", "__tl_all"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, which outlives executors.
-
-    The folder is that of ``spark.checkpoint.dir``; where it is unset, as in tests, one of our own is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidelake-"))
-    return df.checkpoint(eager=True)
-
-
 def release(df: DataFrame) -> None:
     """Let Spark's cleaner drop the shuffle files behind what has been written to the checkpoint folder."""
     gc.collect()
@@ -53,6 +44,23 @@ def hash_fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def hash_bound(share: float) -> int | None:
+    """What a 64-bit hash (signed) has to be below in a share of all cases, however small; None: all of them."""
+    return None if share >= 1 else int(share * 2.0**64) - (1 << 63)
+
+
+def sampled(id_col: str, share: float) -> Column:
+    """Whether a row is in a sample of this share, chosen by a hash of its id."""
+    bound = hash_bound(share)
+    return F.lit(True) if bound is None else F.xxhash64(id_col) < F.lit(bound)
+
+
+def text_key(id_col: str | None, text: Column) -> Column:
+    """What a row is known by when its table is read again: its id, if any, and the MD5 of its text (null: as empty). Row numbers would depend on how the table is cut into partitions."""
+    digest = F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("text")
+    return F.struct(*([] if id_col is None else [F.col(id_col).alias("id")]), digest)
+
+
 def with_columns(docs: DataFrame, row: str, new: dict[str, Column]) -> list[Column]:
     """The columns of ``docs`` out of the struct ``row``, those named as in ``new`` replaced, then ``new``."""
     names = {n.lower() for n in new}
@@ -83,6 +91,40 @@ def unpack_ints(b: bytes) -> np.ndarray:
     return np.cumsum(a, dtype=np.uint64) if ordered else a
 
 
+def strings_array(text: np.ndarray | bytes, sizes: np.ndarray) -> pa.Array:
+    """Strings of these sizes, one after the other in ``text``."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.py_buffer(text)])
+
+
+def numbered(strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Each string's number among the different ones, which are compared byte by byte, and these."""
+    coded = strings.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def pack_text(data: bytes, level: int = 1) -> bytes:
+    import zstandard
+
+    return len(data).to_bytes(8, "little") + zstandard.ZstdCompressor(level=level).compress(data)
+
+
+def unpack_text(b: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(b[8:], max_output_size=int.from_bytes(b[:8], "little")) if b[:8] != bytes(8) else b""
+
+
+def pack_strings(strings: pa.Array) -> bytes:
+    """Binary strings, a slice of an array perhaps."""
+    edges = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, strings.offset * 8)
+    return bundle(pack_ints(np.diff(edges)), pack_text(memoryview(strings.buffers()[2])[edges[0] : edges[-1]] if edges[-1] > edges[0] else b""))
+
+
+def unpack_strings(b: bytes) -> pa.Array:
+    sizes, text = unbundle(b)
+    return strings_array(unpack_text(text), unpack_ints(sizes).astype(np.int64))
+
+
 def bundle(*parts: bytes) -> bytes:
     """Several byte strings in one."""
     return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
@@ -126,7 +168,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every span of ``data`` (bytes), through one prefix sum.
 
-    A polynomial in an odd base modulo 2^64, whose powers have inverses, mixed with the length.
+    A polynomial in an odd base modulo 2^64, whose powers have inverses, mixed with the length. Good for dealing out and for buckets; it
+    doesn't tell strings apart, as texts that are made for it collide.
     """
     p, q = _powers(len(data) + 1)
     s = np.zeros(len(data) + 1, np.uint64)
@@ -156,8 +199,6 @@ def crc(x: object) -> int:
 
 def text_batches(batch, column: str | int, limit: int = 4 << 20):
     """Slices of an Arrow batch with about ``limit`` bytes of text each, one row at least: (first row, end row, texts as bytes)."""
-    import pyarrow as pa
-
     col = batch.column(column).cast(pa.large_binary())
     n, first, size, texts = len(col), 0, 0, []
     for i in range(n):
