@@ -148,20 +148,38 @@ class ZFrame:
         right, match = other.map(*on).consolidate()._renamed(on)
         return ZFrame(self.df.join(right.drop(W), match(self.df), "left_anti"))
 
+    def having(self, keys: DataFrame, on: Sequence[str], small: bool) -> ZFrame:
+        """Rows whose key is among the rows of ``keys``, which are broadcast if they are known to be few."""
+        right, match = ZFrame.of(keys)._renamed(on)
+        right = right.drop(W)
+        return ZFrame(self.df.join(F.broadcast(right) if small else right, match(self.df), "left_semi"))
+
     def left_join(self, other: ZFrame, on: str | Sequence[str], matched: str = "matched") -> ZFrame:
         """join, and rows of keys with net count 0 on the right, with nulls; ``matched`` tells a null from no match.
 
-        A native left join would do for weights that are never negative; for a key whose counts cancel out, both forms appear.
+        One outer join. A key whose counts on the right cancel out has both forms, so its rows on the right get one more, of nulls.
         """
         on = _list(on)
-        inner = self.join(other, on)
-        hit = ZFrame(inner.df.withColumn(matched, F.lit(True)))
+        right = other.consolidate().df.withColumn(matched, F.lit(True))
         none = [F.lit(None).cast(f.dataType).alias(f.name) for f in other.schema.fields if f.name not in on]
-        return hit.concat(ZFrame(self.antijoin(other, on).df.select(*self.columns, *none, W, F.lit(False).alias(matched))))
+        net = right.groupBy(*on).agg(F.sum(W).alias(W)).where(f"{W} = 0")
+        right = right.unionByName(net.select(*on, *none, F.lit(1).cast("bigint").alias(W), F.lit(False).alias(matched)))
+        renamed, match = ZFrame(right)._renamed(on)
+        joined = self.df.withColumnRenamed(W, "__lw").join(renamed.withColumnRenamed(W, "__rw"), match(self.df), "left")
+        rest = [c for c in other.columns if c not in on]
+        return ZFrame(joined.select(*self.columns, *rest, (F.col("__lw") * F.coalesce("__rw", F.lit(1))).alias(W), F.coalesce(matched, F.lit(False)).alias(matched)))
 
     def triangles(self, xz: ZFrame, yz: ZFrame, x: str = "x", y: str = "y", z: str = "z") -> ZFrame:
-        """(x, y) with (x, z) and (y, z): products of the three counts.  The first join is on one column only, so counts are merged before."""
-        return self.consolidate().join(xz.consolidate(), x).join(yz.consolidate(), [y, z]).map(x, y, z)
+        """(x, y) with (x, z) and (y, z): products of the three counts.
+
+        Two of the relations are joined first, on one column: those whose join is the smallest, which the products of degrees
+        tell before anything is joined. So a value that is frequent in one place doesn't set the cost if another order avoids it.
+        """
+        xy, xz, yz = self.consolidate(), xz.consolidate(), yz.consolidate()
+        first = smallest_join([(xy, xz, x), (xy, yz, y), (xz, yz, z)])
+        if first == 2:
+            return xz.join(yz, z).join(xy, [x, y]).map(x, y, z)
+        return (xy.join(xz, x).join(yz, [y, z]) if first == 0 else xy.join(yz, y).join(xz, [x, z])).map(x, y, z)
 
     def _renamed(self, on: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], Column]]:
         """Own rows with key columns renamed, and the null-safe condition against the same columns of another."""
@@ -227,6 +245,15 @@ class ZFrame:
     __hash__ = None
 
 
+def smallest_join(joins: Sequence[tuple[ZFrame, ZFrame, str]]) -> int:
+    """Which of the joins (left, right, column) has the fewest rows: sums of products of the keys' degrees, in one job over the degrees alone."""
+    sizes = []
+    for k, (a, b, on) in enumerate(joins):
+        left, right = (z.df.groupBy(F.struct(on).alias("k")).agg(F.count("*").cast("double").alias(n)) for z, n in ((a, "l"), (b, "r")))
+        sizes.append(left.join(right, "k").agg(F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0.0)).alias("n")).withColumn("k", F.lit(k)))
+    return fold(DataFrame.unionByName, sizes).orderBy("n", "k").first()["k"]
+
+
 def _fields(df: DataFrame, array: Column) -> list[str]:
     return df.select(array.alias("a")).schema["a"].dataType.elementType.names
 

@@ -6,6 +6,7 @@ import heapq
 from collections.abc import Callable
 from typing import IO, Any, TypeVar
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,6 +14,7 @@ from pyspark.sql.types import StructType
 from tidelake.operators.frame import W, ZFrame, _list
 
 from .graph import Context, ContextMismatch, Graph, Input, Node, Output, Relation, Source, written
+from .storage import Change, State
 
 R = TypeVar("R")
 #: Rounds of feedback in one commit after which a program counts as endless.
@@ -53,14 +55,14 @@ class Sink(Output):
     def __init__(self, relation: Relation):
         super().__init__(relation, lambda z: z.df)
         self.kind = "feed"
-        self.fresh: list[DataFrame] = []
+        self.fresh: list[Change] = []
 
     def step(self, changes: list[ZFrame | None]) -> None:
         change = written(changes[0], self)
         if change is not None:
-            self.fresh.append(change.df)
+            self.fresh.append(change)
 
-    def take(self) -> list[DataFrame]:
+    def take(self) -> list[Change]:
         self.run()
         got, self.fresh = self.fresh, []
         return got
@@ -71,8 +73,8 @@ class Feed(Feeder):
 
     def visit(self) -> bool:
         got = self.output.take()
-        for df in got:
-            self.target.send_all(df.select(*self.target.source.schema.names, W))
+        for change in got:
+            self.target.send_all(change.df.select(*self.target.source.schema.names, W))
         return bool(got)
 
 
@@ -81,24 +83,32 @@ class OrderedFeed(Feeder):
 
     def __init__(self, graph: Graph, output: Sink, target: Input, key: str):
         super().__init__(graph, output, target)
-        self.key, self.pending = key, None
+        self.key, self.pending, self.waiting = key, State(output.empty), []
 
     def visit(self) -> bool:
-        for df in self.output.take():
-            self.pending = df if self.pending is None else self.pending.unionByName(df)
-        if self.pending is None:
+        for change in self.output.take():
+            self.pending.add(change)
+        if not self.pending.parts:
             return False
-        pending = written(ZFrame(self.pending), self.output)
-        if pending is None:
-            self.pending = None
-            return False
-        self.pending = pending.df
-        least = self.pending.agg(F.min(F.struct(self.key)).alias("k")).first()["k"]
-        mine = F.col(self.key).eqNullSafe(F.lit(least[0]))
-        self.target.send_all(self.pending.where(mine).select(*self.target.source.schema.names, W))
-        self.pending = self.pending.where(~mine)
+        least = min((self._least(p.change) for p in self.pending.parts), key=lambda v: (v is not None, v))
+        mine = F.col(self.key).eqNullSafe(F.lit(least).cast(self.output.schema[self.key].dataType))
+        now = written(ZFrame(self.pending.frame().where(mine)), self.output)
+        rest = written(ZFrame(self.pending.frame().where(~mine)), self.output)
+        self.pending = State(self.output.empty)
+        if rest is not None:
+            self.pending.add(rest)
+        if now is None:
+            return self.visit()
+        self.target.send_all(now.df.select(*self.target.source.schema.names, W))
         return True
 
+    def _least(self, change: Change):
+        """The smallest key, null first."""
+        if change.local is not None:
+            column = change.local[self.key]
+            return None if column.null_count else pc.min(column).as_py()
+        return change.df.agg(F.min(F.struct(self.key)).alias("k")).first()["k"][0]
+
 
 class WhileFeed(Feeder):
     """Sends the whole output, again and again until it is empty."""

@@ -13,12 +13,12 @@ from typing import IO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import AtomicType, DoubleType, FloatType, StructType
 
 from tidelake.operators.frame import W, ZFrame, _list, rows_of
 from tidelake.operators.outputs import by_key, extrema, flat
 
-from .storage import FEW, State, checkpointed, local, union
+from .storage import FEW, Change, State, as_change, checkpointed, consolidated, fetched, summed, union
 
 
 class ContextMismatch(ValueError):
@@ -37,6 +37,12 @@ class Edge:
         return ZFrame(union(got)) if got else None
 
 
+class Side:
+    """What is remembered of the changes of one source: whether the last one was large."""
+
+    large = False
+
+
 class Node:
     """An operator in a graph; ``kind`` names it in dumps."""
 
@@ -44,6 +50,7 @@ class Node:
         self.graph, self.kind, self.schema = graph, kind, schema
         self.name, self.is_hidden, self.emitted = None, False, 0
         self.inputs = [Edge(s) for s in sources]
+        self.sides = [Side() for _ in sources]
         self.readers: list[Edge] = []
         self.receivers: list[Callable[[], None]] = []
         self.dirty = self.large = False
@@ -51,6 +58,11 @@ class Node:
             e.source.readers.append(e)
         graph.register(self)
 
+    @property
+    def tracking_index(self) -> int:
+        """Place among the graph's operators, inputs and outputs included."""
+        return self.graph.nodes.index(self)
+
     @property
     def empty(self) -> DataFrame:
         return self.graph.spark.createDataFrame([], StructType(list(self.schema.fields)).add(W, "long", False))
@@ -102,41 +114,60 @@ class Linear(Node):
         return self.f(changes[0])
 
 
-def written(z: ZFrame, owner: Node) -> ZFrame | None:
+def written(z: ZFrame, owner: Node | Side) -> Change | None:
     """Consolidated and computed once, None if empty.
 
-    A change of up to FEW rows, counted through a limit, becomes a local relation: no files, and joins with it need no shuffle. One
+    A change of few small rows becomes a local relation: no files, and joins with it need no shuffle. One
     that had more is written, and the next one of its owner is at once, until one is small again.
     """
-    df = z.consolidate().df
     if not owner.large:
-        few = local(df)
-        if few is not None:
-            return None if few.isEmpty() else ZFrame(few)
-    df = checkpointed(df)
-    n = df.limit(FEW + 1).count()
+        table = fetched(z.df)
+        if table is not None:
+            table = summed(table, z.df.schema) if table.num_rows else table
+            change = as_change(z.df, fetched(z.consolidate().df) if table is None else table)
+            return change if change.rows else None
+    df = checkpointed(consolidated(z.df))
+    n = df.count()
     owner.large = n > FEW
-    return ZFrame(df) if n else None
+    return Change(df, n, None) if n else None
+
+
+def keys_of(change: Change, keys: Sequence[str]) -> Change:
+    """The different keys of the changed rows, whatever their counts: net counts would hide a key whose values only swap."""
+    if change.local is not None:
+        schema = change.df.select(*keys).schema
+        if all(isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, (FloatType, DoubleType)) for f in schema.fields):
+            table = change.local.select(list(keys)).group_by(list(keys), use_threads=False).aggregate([])
+            return as_change(change.df.select(*keys), table)
+        return as_change(change.df.select(*keys), change.df.select(*keys).distinct().toArrow())
+    return Change(change.df.select(*keys).distinct(), change.rows, None)
+
+
+def of_keys(state: State, touched: Change) -> ZFrame:
+    """Rows of the state with these keys."""
+    return ZFrame(state.at(touched)).having(touched.df, state.keys, touched.local is not None)
 
 
 class Multilinear(Node):
-    """Joins of two or three: each change meets the others' states, those before it with their own changes already in."""
+    """Joins of two or three: each change meets the others' states, those before it with their own changes already in. ``on``: the key, where all have one."""
 
-    def __init__(self, graph: Graph, kind: str, sources: Sequence[Node], f: Callable[..., ZFrame]):
+    def __init__(self, graph: Graph, kind: str, sources: Sequence[Node], f: Callable[..., ZFrame], on: Sequence[str] | None = None):
         self.f = f
         super().__init__(graph, kind, sources, f(*[ZFrame(s.empty) for s in sources]).schema)
-        self.states = [State(s.empty) for s in sources]
+        self.states = [State(s.empty, on) for s in sources]
 
     def step(self, changes: list[ZFrame | None]) -> ZFrame | None:
         terms = []
         for i, change in enumerate(changes):
-            change = written(change, self) if change is not None else None
+            change = written(change, self.sides[i]) if change is not None else None
             if change is None:
                 continue
-            if all(s.parts for k, s in enumerate(self.states) if k != i):
-                terms.append(self.f(*[change if k == i else ZFrame(s.frame()) for k, s in enumerate(self.states)]).df)
-            self.states[i].add(change.df)
-        return written(ZFrame(union(terms)), self) if terms else None
+            others = [s for k, s in enumerate(self.states) if k != i]
+            if all(s.parts for s in others):
+                keys = keys_of(change, others[0].keys) if others[0].keys and any(p.buckets for s in others for p in s.parts) else None
+                terms.append(self.f(*[ZFrame(change.df) if k == i else ZFrame(s.frame() if keys is None else s.at(keys)) for k, s in enumerate(self.states)]).df)
+            self.states[i].add(change)
+        return settled(written(ZFrame(union(terms)), self)) if terms else None
 
 
 class Anti(Node):
@@ -145,25 +176,25 @@ class Anti(Node):
     def __init__(self, graph: Graph, kind: str, sources: Sequence[Node], on: Sequence[str]):
         self.on = list(on)
         super().__init__(graph, kind, sources, sources[0].schema)
-        self.left, self.right = State(sources[0].empty), State(sources[1].empty.select(*self.on, W))
+        self.left, self.right = State(sources[0].empty, self.on), State(sources[1].empty.select(*self.on, W), self.on)
 
     def step(self, changes: list[ZFrame | None]) -> ZFrame | None:
-        terms, keys = [], ZFrame(self.right.frame())
-        a = written(changes[0], self) if changes[0] is not None else None
-        b = written(changes[1].map(*self.on), self) if changes[1] is not None else None
+        terms = []
+        a = written(changes[0], self.sides[0]) if changes[0] is not None else None
+        b = written(changes[1].map(*self.on), self.sides[1]) if changes[1] is not None else None
         if a is not None:
-            terms.append(a.antijoin(keys, self.on))
-            self.left.add(a.df)
+            terms.append(ZFrame(a.df).antijoin(of_keys(self.right, keys_of(a, self.on)) if self.right.parts else ZFrame(self.right.empty), self.on))
+            self.left.add(a)
         if b is not None:
-            self.right.add(b.df)
-            touched = b.map(*self.on).distinct()
-            before = keys.semijoin(touched, self.on).distinct()
-            after = ZFrame(self.right.frame()).semijoin(touched, self.on).distinct()
+            touched = keys_of(b, self.on)
+            before = of_keys(self.right, touched).distinct()
+            self.right.add(b)
             if self.left.parts:
-                now = ZFrame(self.left.frame())
                 # Keys that appear on the right take rows away, keys that go give them back.
-                terms.append(now.semijoin(before.minus(after).consolidate(), self.on))
-        return written(ZFrame(union([t.df for t in terms])), self) if terms else None
+                turned = written(before.minus(of_keys(self.right, touched).distinct()), self)
+                if turned is not None:
+                    terms.append(of_keys(self.left, keys_of(turned, self.on)).semijoin(ZFrame(turned.df), self.on))
+        return settled(written(ZFrame(union([t.df for t in terms])), self)) if terms else None
 
 
 class Group(Node):
@@ -172,20 +203,24 @@ class Group(Node):
     def __init__(self, graph: Graph, kind: str, sources: Sequence[Node], keys: Sequence[str], f: Callable[[ZFrame], ZFrame]):
         self.keys, self.f = list(keys), f
         super().__init__(graph, kind, sources, f(ZFrame(sources[0].empty)).schema)
-        self.state, self.result = State(sources[0].empty), State(self.empty)
+        # Results that are told apart by the key are kept by it, so that the old ones are found by key as well.
+        self.state, self.result = State(sources[0].empty, self.keys), State(self.empty, self.keys)
 
     def step(self, changes: list[ZFrame | None]) -> ZFrame | None:
-        change = written(changes[0], self)
+        change = written(changes[0], self.sides[0])
         if change is None:
             return None
-        self.state.add(change.df)
-        # Keys of all changed rows: net counts of keys would hide one whose values only swap.
-        touched = ZFrame.of(change.df.select(*self.keys).distinct()) if self.keys else None
-        of = lambda s: ZFrame(s.frame()) if touched is None else ZFrame(s.frame()).semijoin(touched, self.keys)
+        self.state.add(change)
+        touched = keys_of(change, self.keys) if self.keys else None
+        of = lambda s: ZFrame(s.frame()) if touched is None else of_keys(s, touched) if s.parts else ZFrame(s.empty)
         out = written(self.f(of(self.state)).minus(of(self.result)), self)  # unchanged results cancel out
         if out is not None:
-            self.result.add(out.df)
-        return out
+            self.result.add(out)
+        return settled(out)
+
+
+def settled(change: Change | None) -> ZFrame | None:
+    return None if change is None else ZFrame(change.df)
 
 
 class Relation:
@@ -246,7 +281,9 @@ class Relation:
     def split(self, left: Sequence[Column | str], right: Sequence[Column | str]) -> tuple[Relation, Relation]:
         return self.map(*left).type_named("split"), self.map(*right).type_named("split")
 
-    split_ = split
+    def split_(self, left: Sequence[Column | str], right: Sequence[Column | str]) -> tuple[Relation, Relation]:
+        """The raw form: each branch gives its own weights, in a column w."""
+        return self.map_(*left).type_named("split"), self.map_(*right).type_named("split")
 
     def consolidate(self) -> Relation:
         return self._linear("consolidate", ZFrame.consolidate)
@@ -257,20 +294,20 @@ class Relation:
     def minus(self, other: Relation) -> Relation:
         return self._linear("minus", ZFrame.minus, other)
 
-    def _multi(self, kind: str, f: Callable[..., ZFrame], *others: Relation) -> Relation:
-        return Relation(Multilinear(self._graph(*others), kind, [self.node, *[o.node for o in others]], f))
+    def _multi(self, kind: str, f: Callable[..., ZFrame], *others: Relation, on: Sequence[str] | None = None) -> Relation:
+        return Relation(Multilinear(self._graph(*others), kind, [self.node, *[o.node for o in others]], f, on))
 
     def join(self, other: Relation, on: str | Sequence[str]) -> Relation:
-        return self._multi("join", lambda a, b: a.join(b, on), other)
+        return self._multi("join", lambda a, b: a.join(b, on), other, on=_list(on))
 
     def join_values(self, other: Relation, on: str | Sequence[str]) -> Relation:
-        return self._multi("join_values", lambda a, b: a.join_values(b, on), other)
+        return self._multi("join_values", lambda a, b: a.join_values(b, on), other, on=_list(on))
 
     def semijoin(self, other: Relation, on: str | Sequence[str]) -> Relation:
-        return self._multi("semijoin", lambda a, b: a.semijoin(b, on), other)
+        return self._multi("semijoin", lambda a, b: a.semijoin(b, on), other, on=_list(on))
 
     def intersection(self, other: Relation) -> Relation:
-        return self._multi("intersection", lambda a, b: a.intersection(b), other)
+        return self._multi("intersection", lambda a, b: a.intersection(b), other, on=self.columns)
 
     def triangles(self, xz: Relation, yz: Relation, x: str = "x", y: str = "y", z: str = "z") -> Relation:
         return self._multi("triangles", lambda a, b, c: a.triangles(b, c, x, y, z), xz, yz)
@@ -302,6 +339,16 @@ class Relation:
     def reduce_table(self, keys: str | Sequence[str], f: Callable, schema: str) -> Relation:
         return self._group("reduce", _list(keys), lambda z: z.reduce_table(keys, f, schema))
 
+    def reduce_with_output_(self, keys: str | Sequence[str], f: Callable[[ZFrame], ZFrame], layout: Callable[[ZFrame], DataFrame]) -> tuple[Relation, Probe]:
+        """``f`` on the rows of the keys that changed, and the map of results in a layout of the caller's."""
+        got = self._group("reduce", _list(keys), f)
+        return got, Probe(got, layout)
+
+    @property
+    def is_reduce(self) -> bool:
+        """Whether the relation has a map of results, which can be probed."""
+        return isinstance(self.node, Group)
+
     def counts(self, name: str = "n") -> Relation:
         return self._group("counts", self.columns, lambda z: z.counts(name))
 
@@ -346,7 +393,7 @@ class Relation:
 
     @property
     def tracking_index(self) -> int:
-        return self.node.graph.nodes.index(self.node)
+        return self.node.tracking_index
 
     # Ends.
 
@@ -363,7 +410,7 @@ class Relation:
         return Output(self, layout)
 
     def probe(self) -> Probe:
-        if not isinstance(self.node, Group):
+        if not self.is_reduce:
             raise TypeError("only a reduced relation can be probed")
         return Probe(self)
 
@@ -383,7 +430,7 @@ class Output(Node):
     def step(self, changes: list[ZFrame | None]) -> None:
         change = written(changes[0], self)
         if change is not None:
-            self.state.add(change.df)
+            self.state.add(change)
 
     def frame(self) -> ZFrame:
         self.run()
@@ -398,8 +445,8 @@ class Output(Node):
 class Probe:
     """A tap on a reduced relation: its keys and results as a plain DataFrame."""
 
-    def __init__(self, relation: Relation):
-        self.relation, self.output = relation, Output(relation, lambda z: z.consolidate().df.drop(W))
+    def __init__(self, relation: Relation, layout: Callable[[ZFrame], DataFrame] = lambda z: z.consolidate().df.drop(W)):
+        self.relation, self.output = relation, Output(relation, layout)
 
     def get_relation(self) -> Relation:
         return self.relation
@@ -433,8 +480,15 @@ class Input:
         self.source, self.frames = source, frames
         self.listeners: list[Callable[[DataFrame], None]] = []
 
+    @property
+    def tracking_index(self) -> int:
+        return self.source.tracking_index
+
     def clone(self) -> Input:
-        return self
+        """Another handle on the same input; frames and listeners are shared."""
+        twin = Input(self.source, self.frames)
+        twin.listeners = self.listeners
+        return twin
 
     def send_all(self, rows: DataFrame | ZFrame | Iterable, weight: int | None = None) -> None:
         """Changes: a DataFrame with w, or rows that end with their weight (or all have ``weight``)."""
