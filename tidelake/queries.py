@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,10 +55,12 @@ def urgent(s: SparkSession, d: str) -> ZFrame:
 
 
 def edges(s: SparkSession, d: str) -> ZFrame:
-    return relation(s, d, "orders", F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7) % 1500 + 1).alias("dst"), F.substring("o_orderpriority", 1, 1).cast("bigint").alias("len")).distinct()
+    """A graph over all customers, which grows with the tables."""
+    n = table(s, d, "customer").count()
+    return relation(s, d, "orders", F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7) % n + 1).alias("dst"), F.substring("o_orderpriority", 1, 1).cast("bigint").alias("len")).distinct()
 
 
-GRAPH_SQL = "e AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7) % 1500 + 1 AS dst, CAST(left(o_orderpriority, 1) AS BIGINT) AS len FROM orders)"
+GRAPH_SQL = "e AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7) % (SELECT count(*) FROM customer) + 1 AS dst, CAST(left(o_orderpriority, 1) AS BIGINT) AS len FROM orders)"
 
 
 @query("""SELECT DISTINCT k, v, CAST(1 AS BIGINT) AS w FROM (
@@ -74,9 +77,9 @@ def map_project(s: SparkSession, d: str) -> DataFrame:
     return out(relation(s, d, "lineitem", "l_orderkey", "l_quantity").map(F.col("l_orderkey").alias("k"), (F.col("l_quantity").cast("bigint") * 2).alias("q")))
 
 
-@query(bag("a AS (SELECT l_orderkey, l_linenumber, 1 AS w FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01' AND l_returnflag = 'A')", "l_orderkey, l_linenumber", "a"))
+@query(bag("a AS (SELECT l_orderkey, l_linenumber, 1 AS w FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' AND l_returnflag = 'A')", "l_orderkey, l_linenumber", "a"))
 def filter_rows(s: SparkSession, d: str) -> DataFrame:
-    return out(relation(s, d, "lineitem").filter((F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp_ntz")) & (F.col("l_returnflag") == "A")).map("l_orderkey", "l_linenumber"))
+    return out(relation(s, d, "lineitem").filter((F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")) & (F.col("l_returnflag") == "A")).map("l_orderkey", "l_linenumber"))
 
 
 @query(bag("a AS (SELECT unnest(string_split(text, ' ')) AS word, 1 AS w FROM documents)", "word", "a"))
@@ -155,11 +158,12 @@ def update_add_remove(s: SparkSession, d: str) -> DataFrame:
     return o.get(x)
 
 
-NATIONS_SQL = "a AS (SELECT c_nationkey AS k, 1 AS w FROM customer WHERE c_nationkey % 3 <> 0), b AS (SELECT s_nationkey AS k, 1 AS w FROM supplier WHERE s_nationkey % 2 <> 0), ca AS (SELECT k, count(*) AS n FROM a GROUP BY k), cb AS (SELECT k, count(*) AS n FROM b GROUP BY k)"
+#: Customers by nation, and nations by region: the first has keys that the second lacks.
+NATIONS_SQL = "a AS (SELECT c_nationkey AS k, 1 AS w FROM customer), b AS (SELECT n_regionkey AS k, 1 AS w FROM nation), ca AS (SELECT k, count(*) AS n FROM a GROUP BY k), cb AS (SELECT k, count(*) AS n FROM b GROUP BY k)"
 
 
 def nations(s: SparkSession, d: str) -> tuple[ZFrame, ZFrame]:
-    return relation(s, d, "customer", F.col("c_nationkey").alias("k")).filter("k % 3 <> 0"), relation(s, d, "supplier", F.col("s_nationkey").alias("k")).filter("k % 2 <> 0")
+    return relation(s, d, "customer", F.col("c_nationkey").alias("k")), relation(s, d, "nation", F.col("n_regionkey").alias("k"))
 
 
 @query(bag(f"{NATIONS_SQL}, u AS (SELECT * FROM a UNION ALL SELECT * FROM b)", "k", "u"))
@@ -306,6 +310,202 @@ def scalar_output(s: SparkSession, d: str) -> DataFrame:
     return scalar(flagged(s, d))
 
 
+@query("SELECT n_regionkey, n_name, CAST(count(*) AS BIGINT) AS w FROM nation GROUP BY ALL")
+def graph_kv_output(s: SparkSession, d: str) -> DataFrame:
+    c = CreationContext(s)
+    i, r = c.new_input("n_regionkey int, n_name string")
+    o, x = r.into_kv_output("n_regionkey"), c.begin()
+    i.add_all(table(s, d, "nation").select("n_regionkey", "n_name"))
+    x.commit()
+    return o.get(x).select("n_regionkey", F.inline("entries"))
+
+
+@query("SELECT o_custkey AS first, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) GROUP BY o_custkey")
+def graph_extrema_output(s: SparkSession, d: str) -> DataFrame:
+    c = CreationContext(s)
+    i, r = c.new_input("o_custkey long, o_orderkey long")
+    o, x = r.into_extrema_output("o_custkey"), c.begin()
+    i.add_all(table(s, d, "orders").select("o_custkey", "o_orderkey"))
+    x.commit()
+    return o.get(x).limit(1).select(F.col("o_custkey").alias("first"), F.aggregate("entries", F.lit(0).cast("bigint"), lambda a, e: a + e["w"]).alias("n"))
+
+
+@query(f"SELECT CAST(sum({SIGNED_SQL}) AS BIGINT) AS w FROM lineitem HAVING sum({SIGNED_SQL}) <> 0")
+def graph_own_layout(s: SparkSession, d: str) -> DataFrame:
+    c = CreationContext(s)
+    i, r = c.new_input_("l_partkey long, l_returnflag string")
+    o, x = r.into_output_(scalar), c.begin()
+    i.send_all(flagged(s, d))
+    x.commit()
+    return o.get(x)
+
+
+@query(bag("a AS (SELECT l_partkey, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 2 END AS w FROM lineitem)", "l_partkey", "a"))
+def raw_input(s: SparkSession, d: str) -> DataFrame:
+    """Items of any columns; what counts as their weight is said by map_."""
+    c = CreationContext(s)
+    i, r = c.new_input_("part long, flag string")
+    o, x = r.map_(F.col("part").alias("l_partkey"), F.when(F.col("flag") == "R", -1).otherwise(2).cast("bigint").alias("w")).into_output(), c.begin()
+    i.add_all(table(s, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag")))
+    x.commit()
+    return o.get(x)
+
+
+@query(bag("a AS (SELECT event_type, 2 AS w FROM events)", "event_type", "a") + " UNION ALL SELECT 'heard', CAST(2 * count(*) AS BIGINT) FROM events")
+def input_handles(s: SparkSession, d: str) -> DataFrame:
+    """Two handles on one input; listeners on the input and on the output."""
+    c, heard, told = CreationContext(s), [], []
+    i, r = c.new_input("event_type string")
+    i.add_listener(heard.append)
+    o, twin = r.into_output(), i.clone()
+    o.add_listener(lambda: told.append(1))
+    x = c.begin()
+    for handle in (i, twin):
+        handle.add_all(table(s, d, "events").select("event_type"))
+    x.commit()
+    if not told:
+        raise AssertionError("the output's listener wasn't called")
+    return o.get(x).unionByName(heard[0].unionByName(heard[1]).agg(F.sum("w").alias("w")).select(F.lit("heard").alias("event_type"), "w"))
+
+
+@query(bag("a AS (SELECT 'l' AS side, l_partkey AS k, 1 AS w FROM lineitem UNION ALL SELECT 'r', l_suppkey, -1 FROM lineitem)", "side, k", "a"))
+def split_raw(s: SparkSession, d: str) -> DataFrame:
+    """The raw form of a split: each branch sets its own weights."""
+    c = CreationContext(s)
+    i, r = c.new_input("l_partkey long, l_suppkey long")
+    left, right = r.split_([F.lit("l").alias("side"), F.col("l_partkey").alias("k"), "w"], [F.lit("r").alias("side"), F.col("l_suppkey").alias("k"), (-F.col("w")).alias("w")])
+    o, x = left.concat(right).into_output(), c.begin()
+    i.add_all(table(s, d, "lineitem").select("l_partkey", "l_suppkey"))
+    x.commit()
+    return o.get(x)
+
+
+@query("SELECT o_custkey, max(CAST(round(o_totalprice * 100) AS BIGINT)) AS price, CAST(1 AS BIGINT) AS w, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey")
+def reduce_with_output(s: SparkSession, d: str) -> DataFrame:
+    """A reduction whose result map is the caller's own (prices by customer), read beside the relation's own output, after a retraction."""
+    c = CreationContext(s)
+    i, r = c.new_input("o_custkey long, price long")
+    best, results = r.reduce_with_output_("o_custkey", lambda z: z.reduce("o_custkey", F.max("price").alias("price"), F.sum("w").alias("n")), lambda z: z.consolidate().df.select("o_custkey", "n"))
+    o = best.map("o_custkey", "price").into_output()
+    if not best.is_reduce or r.is_reduce:
+        raise AssertionError("only the reduction has a result map")
+    x = c.begin()
+    orders = table(s, d, "orders").select("o_custkey", cents("o_totalprice").alias("price"), "o_orderstatus")
+    i.add_all(orders.drop("o_orderstatus"))
+    x.commit()
+    o.get(x)
+    i.remove_all(orders.where("o_orderstatus = 'F'").drop("o_orderstatus"))
+    x.commit()
+    return o.get(x).join(results.inspect(x), "o_custkey").select("o_custkey", "price", "w", "n")
+
+
+@query("SELECT price, CAST(count(*) AS BIGINT) AS n, CAST(1 AS BIGINT) AS w FROM (SELECT max(CAST(round(o_totalprice * 100) AS BIGINT)) AS price FROM orders GROUP BY o_custkey) GROUP BY price")
+def probe_downstream(s: SparkSession, d: str) -> DataFrame:
+    """The reduction behind a probe goes on being used."""
+    c = CreationContext(s)
+    i, r = c.new_input("o_custkey long, price long")
+    p = r.group_max("o_custkey").probe()
+    o, x = p.get_relation().snds("o_custkey").counts().into_output(), c.begin()
+    i.send_all(priced(s, d))
+    x.commit()
+    return o.get(x)
+
+
+@query(bag("a AS (SELECT o_custkey AS k, 1 AS w FROM orders UNION ALL SELECT o_custkey, 1 FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, -1 FROM orders WHERE o_orderpriority = '1-URGENT')", "k", "a"))
+def shared_relation(s: SparkSession, d: str) -> DataFrame:
+    """One saved relation with three readers, debugged, typed and named on the way."""
+    c = CreationContext(s)
+    i, r = c.new_input("k long, status string, priority string")
+    saved = r.t("k long, status string, priority string").debug("orders").named("orders").collect().save()
+    failed = saved.get().filter("status = 'F'").conditional_debug("failed", F.col("k") == 1).map("k")
+    urgent_ = saved.get_shown().filter("priority = '1-URGENT'").map_h("k")
+    o, x = saved.clone().dynamic().map("k").concat(failed).minus(urgent_).into_output(), c.begin()
+    i.add_all(table(s, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")))
+    x.commit()
+    return o.get(x)
+
+
+@query("SELECT * FROM (VALUES ('input', 0, 3), ('relation', 1, 3), ('output', 3, 4)) AS t(part, tracking_index, shown)")
+def graph_dump(s: SparkSession, d: str) -> DataFrame:
+    """Indices of an input, a relation and an output, and how many operators the dump shows without and with the output."""
+    c = CreationContext(s)
+    i, r = c.new_input("k long")
+    hidden = r.map_h("k")
+    counted = hidden.counts().type_named("count").named("numbers")
+    at, text = io.StringIO(), io.StringIO()
+    c.tracker.dump_dot(at)
+    o, x = counted.into_output(), c.begin()
+    i.add(1)
+    x.commit()
+    o.get(x)
+    x.tracker.dump_dot(text)
+    if "numbers" not in text.getvalue() or 'label="map' in text.getvalue():
+        raise AssertionError("names are shown, hidden operators aren't")
+    shown = lambda t: t.getvalue().count("label=")
+    rows = [("input", i.tracking_index, shown(at) + 1), ("relation", hidden.tracking_index, shown(text)), ("output", o.tracking_index, shown(text) + 1)]
+    return s.createDataFrame(rows, "part string, tracking_index int, shown int")
+
+
+#: Lines by part and by supplier are added, then the returned ones are taken back.
+LEFT_SQL = "l AS (SELECT * FROM lineitem WHERE l_returnflag <> 'R')"
+
+
+def retracted(s: SparkSession, d: str, build: Callable, *columns: tuple[str, ...]) -> DataFrame:
+    """What ``build`` makes of relations of these columns of lineitem after two commits: all lines in, then the returned ones out, the output read after each."""
+    c = CreationContext(s)
+    made = [c.new_input(", ".join(f"{x} long" for x in names)) for names in columns]
+    o, x = build(*[r for _, r in made]).into_output(), c.begin()
+    lines = table(s, d, "lineitem")
+    for df, w in ((lines, 1), (lines.where("l_returnflag = 'R'"), -1)):
+        for (i, _), names in zip(made, columns, strict=True):
+            i.send_all(df.select(*[F.col(f"l_{n}").cast("long").alias(n) for n in names]), w)
+        x.commit()
+        o.get(x).count()
+    return o.get(x)
+
+
+@query(f"WITH {LEFT_SQL} SELECT l_partkey AS partkey, CAST(count(*) AS BIGINT) AS n, CAST(1 AS BIGINT) AS w FROM l GROUP BY ALL")
+def retract_counts(s: SparkSession, d: str) -> DataFrame:
+    return retracted(s, d, lambda a: a.counts(), ("partkey",))
+
+
+@query(f"WITH {LEFT_SQL} SELECT l_partkey AS partkey, CAST(min(l_quantity) AS BIGINT) AS quantity, CAST(1 AS BIGINT) AS w FROM l GROUP BY ALL")
+def retract_group_min(s: SparkSession, d: str) -> DataFrame:
+    return retracted(s, d, lambda a: a.group_min("partkey"), ("partkey", "quantity"))
+
+
+@query(f"WITH {LEFT_SQL} SELECT l_suppkey AS suppkey, CAST(sum(l_quantity) AS BIGINT) AS total, CAST(1 AS BIGINT) AS w FROM l GROUP BY ALL")
+def retract_reduce(s: SparkSession, d: str) -> DataFrame:
+    return retracted(s, d, lambda a: a.reduce("suppkey", F.sum(F.col("quantity") * F.col("w")).alias("total")), ("suppkey", "quantity"))
+
+
+KEYS_SQL = f"{LEFT_SQL}, p AS (SELECT l_partkey AS k, count(*) AS n FROM l GROUP BY ALL), q AS (SELECT l_suppkey AS k, count(*) AS n FROM l GROUP BY ALL)"
+
+
+@query(f"WITH {KEYS_SQL} SELECT p.k, CAST(p.n * q.n AS BIGINT) AS w FROM p JOIN q USING (k)")
+def retract_intersection(s: SparkSession, d: str) -> DataFrame:
+    return retracted(s, d, lambda a, b: a.map(F.col("partkey").alias("k")).intersection(b.map(F.col("suppkey").alias("k"))), ("partkey",), ("suppkey",))
+
+
+@query(f"WITH {KEYS_SQL} SELECT k, CAST(n AS BIGINT) AS w FROM p WHERE k NOT IN (SELECT k FROM q)")
+def retract_set_minus(s: SparkSession, d: str) -> DataFrame:
+    return retracted(s, d, lambda a, b: a.map(F.col("partkey").alias("k")).set_minus(b.map(F.col("suppkey").alias("k"))), ("partkey",), ("suppkey",))
+
+
+@query(f"WITH {KEYS_SQL}, a AS (SELECT l_partkey AS k, l_orderkey AS orderkey, count(*) AS n FROM l GROUP BY ALL) SELECT a.k, orderkey, CAST(a.n * q.n AS BIGINT) AS w FROM a JOIN q USING (k)")
+def retract_semijoin(s: SparkSession, d: str) -> DataFrame:
+    return retracted(s, d, lambda a, b: a.map(F.col("partkey").alias("k"), "orderkey").semijoin(b.map(F.col("suppkey").alias("k")), "k"), ("partkey", "orderkey"), ("suppkey",))
+
+
+@query(f"""WITH {LEFT_SQL}, a AS (SELECT l_partkey AS x, l_suppkey AS y, count(*) AS n FROM l GROUP BY ALL), b AS (SELECT l_partkey AS x, l_orderkey AS z, count(*) AS n FROM l GROUP BY ALL),
+c AS (SELECT l_suppkey AS y, l_orderkey AS z, count(*) AS n FROM l GROUP BY ALL)
+SELECT a.x, a.y, b.z, CAST(a.n * b.n * c.n AS BIGINT) AS w FROM a JOIN b ON a.x = b.x JOIN c ON a.y = c.y AND b.z = c.z""")
+def retract_triangles(s: SparkSession, d: str) -> DataFrame:
+    named = lambda r, *names: r.map(*[F.col(c).alias(n) for c, n in zip(r.columns, names, strict=True)])
+    build = lambda a, b, c: named(a, "x", "y").triangles(named(b, "x", "z"), named(c, "y", "z"))
+    return retracted(s, d, build, ("partkey", "suppkey"), ("partkey", "orderkey"), ("suppkey", "orderkey"))
+
+
 EVENTS = "user_id long, event_type string"
 
 
@@ -373,7 +573,13 @@ def reach_feed(s: SparkSession, d: str) -> DataFrame:
     return o.get(x)
 
 
-@query(f"WITH RECURSIVE {GRAPH_SQL}, r AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS dist UNION SELECT dst, dist + 1 FROM e JOIN r ON src = node WHERE dist < 12) SELECT node, min(dist) AS dist, CAST(1 AS BIGINT) AS w FROM r GROUP BY node")
+def shortest_sql(step: str) -> str:
+    """Least distances from node 1, by rounds until nothing gets shorter."""
+    return f"""WITH RECURSIVE {GRAPH_SQL}, r(node, dist) USING KEY (node) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION
+SELECT dst, CAST(min(r.dist + {step}) AS BIGINT) FROM r JOIN e ON src = r.node LEFT JOIN recurring.r AS old ON old.node = dst GROUP BY dst HAVING coalesce(min(r.dist + {step}) < min(old.dist), true))"""
+
+
+@query(f"{shortest_sql('1')} SELECT node, dist, CAST(1 AS BIGINT) AS w FROM r")
 def bfs_levels(s: SparkSession, d: str) -> DataFrame:
     c = CreationContext(s)
     i, r = c.new_input("node long, dist long")
@@ -387,9 +593,6 @@ def bfs_levels(s: SparkSession, d: str) -> DataFrame:
     return o.get(x)
 
 
-SSSP_SQL = f"WITH RECURSIVE {GRAPH_SQL}, r AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS dist UNION SELECT dst, dist + len FROM e JOIN r ON src = node WHERE dist + len <= 40), b AS (SELECT node, min(dist) AS dist FROM r GROUP BY node)"
-
-
 def paths(s: SparkSession, end: int | None):
     c = CreationContext(s)
     i, r = c.new_input("node long, dist long")
@@ -401,7 +604,7 @@ def paths(s: SparkSession, end: int | None):
     return i, e, best.into_output(), c.begin()
 
 
-@query(f"{SSSP_SQL} SELECT node, dist, CAST(1 AS BIGINT) AS w FROM b")
+@query(f"{shortest_sql('len')} SELECT node, dist, CAST(1 AS BIGINT) AS w FROM r")
 def sssp_feed_ordered(s: SparkSession, d: str) -> DataFrame:
     i, e, o, x = paths(s, None)
     e.send_all(edges(s, d))
@@ -410,13 +613,13 @@ def sssp_feed_ordered(s: SparkSession, d: str) -> DataFrame:
     return o.get(x)
 
 
-@query(f"{SSSP_SQL} SELECT node, dist FROM b WHERE node = 1400")
+@query(f"{shortest_sql('len')} SELECT node, dist FROM r WHERE node = 140")
 def sssp_interrupt(s: SparkSession, d: str) -> DataFrame:
-    i, e, _, x = paths(s, 1400)
+    i, e, _, x = paths(s, 140)
     e.send_all(edges(s, d))
     i.add(1, 0)
     found = x.commit()
-    return s.createDataFrame([] if found is None else [(1400, found)], "node long, dist long")
+    return s.createDataFrame([] if found is None else [(140, found)], "node long, dist long")
 
 
 @query("SELECT user_id, CAST(1 AS BIGINT) AS w FROM events GROUP BY user_id")
