@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -11,21 +10,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, IS_SPACE, ROW, bundle, checkpointed, hash_fold, mix64, pack_ints, runs, span_hashes, text_batches, unbundle, unpack_ints
+from .common import FOLD, IS_SPACE, ROW, bundle, checkpointed, hash_fold, mix64, numbered, pack_ints, pack_strings, release, runs, span_hashes, strings_array, text_batches, unbundle, unpack_ints, unpack_strings
 
 FOLDS, HELD_OUT = 7, 2
 #: Counts up to this are discounted.
 K = 5
 #: Bytes of text in a block, and tokens of the corpus for each part of a table.
 BLOCK_BYTES, PART_TOKENS, LEAST_PARTS = 12 << 20, 1_000_000, 48
-#: Hashes of the end of a text and of what is before its first word.
-END, START = np.uint64(1), np.uint64(0)
+#: The end of a text as a word; no word has a space.
+END = b" "
 MESSAGE = "key long, block long, kind int, payload binary, stats array<double>"
 TEXT, WORDS, COUNTS, CONTEXTS, STATS, WEIGHTS = range(6)
 
 
 class Block(NamedTuple):
-    """Texts of one part of the corpus: tokens in each, whether it is for training, numbers of the tokens (words by falling frequency, which compresses), and each word's place among the block's words in order of their hashes."""
+    """Texts of one part of the corpus: tokens in each, whether it is for training, numbers of the tokens (words by falling frequency, which compresses), and each word's place among the block's words as they are dealt out."""
 
     sizes: np.ndarray
     train: np.ndarray
@@ -52,22 +51,31 @@ class Block(NamedTuple):
         return out
 
 
-def read_block(texts: list[bytes], train: np.ndarray) -> tuple[Block, np.ndarray]:
-    """A block, and the hashes of its words in order."""
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Hashes by which words are dealt out; what they are is decided on their bytes."""
+    edges = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    return span_hashes(np.frombuffer(words.buffers()[2] or b"", np.uint8), edges[:-1], edges[1:])
+
+
+def read_block(texts: list[bytes], train: np.ndarray) -> tuple[Block, pa.Array]:
+    """A block, and its different words (compared byte by byte) in order of their hashes."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
-    s, e = runs(~IS_SPACE[data])
-    h = span_hashes(FOLD[data], s, e)
-    h[h <= END] += np.uint64(2)
+    word = ~IS_SPACE[data]
+    s, e = runs(word)
+    number, words = numbered(strings_array(FOLD[data[word]], e - s))
     doc = np.searchsorted(ends, s, side="right")
     sizes = np.bincount(doc, minlength=len(texts)) + 1
-    every = np.full(int(sizes.sum()), END, np.uint64)
-    every[np.arange(len(s)) + doc] = h
-    hashes, tokens, n = np.unique(every, return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    number = np.empty(len(order), np.int64)
-    number[order] = np.arange(len(order))
-    return Block(sizes, train, number[tokens], order), hashes
+    tokens = np.full(int(sizes.sum()), len(words), np.int64)
+    tokens[np.arange(len(s)) + doc] = number
+    words = pa.concat_arrays([words, pa.array([END], pa.large_binary())])
+    by_count = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[by_count] = np.arange(len(words))
+    dealt = np.argsort(word_hashes(words), kind="stable")
+    place = np.empty(len(words), np.int64)
+    place[dealt] = np.arange(len(words))
+    return Block(sizes, train, rank[tokens], place[by_count]), words.take(pa.array(dealt))
 
 
 def discounts(n: np.ndarray, k: int = K) -> np.ndarray:
@@ -122,7 +130,7 @@ def by_part(parts: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def word_parts(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Parts by range of hash: a block's words in order of hash are in order of part, so answers in order of part are in order of hash."""
+    """Parts by range of hash: a block's words in order of hash are in order of part, and so are the answers."""
     return (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
@@ -132,20 +140,20 @@ def in_order(answers: dict[int, list[np.ndarray]], block: Block) -> list[np.ndar
 
 
 def _asked(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """For each block and part of the words' table: the hashes and their training counts."""
+    """For each block and part of the words' table: the words and their training counts."""
     for batch in batches:
-        for number, payload, words in zip(*[batch.column(c).to_pylist() for c in ("block", "payload", "words")], strict=True):
-            b, hashes = Block.unpack(payload), unpack_ints(words)
-            c = np.empty(len(hashes), np.int64)
-            c[b.place] = np.bincount(b.tokens[b.trained()], minlength=len(hashes))
-            yield rows([(p, number, WORDS, bundle(pack_ints(hashes[at], True), pack_ints(c[at])), None) for p, at in by_part(word_parts(hashes, n), n)])
+        for number, payload, packed in zip(*[batch.column(c).to_pylist() for c in ("block", "payload", "words")], strict=True):
+            b, words = Block.unpack(payload), unpack_strings(packed)
+            c = np.empty(len(words), np.int64)
+            c[b.place] = np.bincount(b.tokens[b.trained()], minlength=len(words))
+            yield rows([(p, number, WORDS, bundle(pack_strings(words.slice(at[0], len(at))), pack_ints(c[at])), None) for p, at in by_part(word_parts(word_hashes(words), n), n)])
 
 
 def _words(table: pa.Table, n: int) -> pa.Table:
     """One part of the words' table: sums of counts, then an answer for each block with ids (by falling count) and counts, and the part's statistics."""
     part, blocks = table.column("key")[0].as_py(), table.column("block").to_pylist()
-    asked = [tuple(map(unpack_ints, unbundle(p))) for p in table.column("payload").to_pylist()]
-    words, at = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
+    asked = [(unpack_strings(x), unpack_ints(c)) for x, c in map(unbundle, table.column("payload").to_pylist())]
+    at, words = numbered(pa.concat_arrays([x[0] for x in asked]))
     c = np.bincount(at, weights=np.concatenate([x[1] for x in asked]).astype(np.float64), minlength=len(words)).astype(np.int64)
     rank = np.empty(len(words), np.int64)
     rank[np.argsort(-c, kind="stable")] = np.arange(len(words))
@@ -293,16 +301,11 @@ def _sums(df: DataFrame) -> list[float]:
     return [x["x"] for x in sorted(got, key=lambda x: x["i"])]
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark's cleaner drop the shuffle files behind what has been written to the checkpoint folder."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; rows where ``train`` is true are learnt from.
 
-    Blocks of texts are tokenised once, as numbers of the block's different words, and written. Tables of words, bigrams and contexts
+    Blocks of texts are tokenised once, as numbers of the block's different words, and written. Words are compared by their bytes, hashes only
+    deal them out; bigrams are pairs of the words' numbers. Tables of words, bigrams and contexts
     are dealt out by hash over parts whose number follows the corpus; what a block needs of a part, and what it knows, is one packed message,
     and so is the answer. A frequent word or context is in many messages but is one number in each, bigrams are dealt out
     by context and word, and a context's sums meet in partial form: no key gathers rows.
@@ -311,8 +314,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     word if training has it, else what discounts have left over, for one unknown word. Weights normalise exactly over the
     V + 1 words.
 
-    Null text: as empty, so one token, the end. Null ids pass through. Repeated rows: each is a text. Empty table: no rows. No text to
-    learn from: every token is unknown and certain. Other columns are left out.
+    Null text: as empty, so one token, the end. A long text is in one block, however long. Null ids pass through. Repeated rows: each is a text. Ties
+    (words of one count) get their numbers in any order, which no result shows. Empty table: no rows. No text to
+    learn from: every token is unknown and certain. Other columns are left out, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.monotonically_increasing_id().alias(ROW), F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
@@ -320,10 +324,10 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, own in text_batches(batch, 3, BLOCK_BYTES):
-                block, hashes = read_block(own, np.array(batch.column(2).slice(a, b - a).to_pylist(), bool))
+                block, words = read_block(own, np.array(batch.column(2).slice(a, b - a).to_pylist(), bool))
                 ids = pa.ListArray.from_arrays([0, b - a], batch.column(1).slice(a, b - a))
                 n = [float(len(block.tokens)), float(block.train.sum())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1), ids, pa.array([block.pack()], pa.binary()), pa.array([pack_ints(hashes, True)], pa.binary()), pa.array([n], pa.list_(pa.float64()))], ["block", "ids", "payload", "words", "stats"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1), ids, pa.array([block.pack()], pa.binary()), pa.array([pack_strings(words)], pa.binary()), pa.array([n], pa.list_(pa.float64()))], ["block", "ids", "payload", "words", "stats"])
 
     blocks = checkpointed(texts.mapInArrow(tokenise, f"block long, ids array<{kind}>, payload binary, words binary, stats array<double>"))
     all_tokens, starts = blocks.agg(F.coalesce(F.sum(F.col("stats")[0]), F.lit(0.0)), F.coalesce(F.sum(F.col("stats")[1]), F.lit(0.0))).first()
@@ -333,18 +337,18 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     words = checkpointed(by_key(blocks.select("block", "payload", "words").mapInArrow(lambda it: _asked(it, n), MESSAGE), lambda t: _words(t, n)))
     total, kinds, *of_counts = _sums(words) or [0.0] * (K + 4)
     uni = Unigrams.of(total, kinds, np.array(of_counts))
-    _release(docs)
+    release(docs)
 
     told = words.where(F.col("kind") == WORDS)
     as_text = blocks.select(F.lit(-1).cast("long").alias("key"), "block", F.lit(TEXT).alias("kind"), "payload", F.lit(None).cast("array<double>").alias("stats"))
     pairs = as_text.unionByName(told).groupBy("block").applyInArrow(lambda t: _pairs(t, n), MESSAGE)
     bigrams = checkpointed(by_key(pairs, lambda t: _bigrams(t, n, uni)))
     d = discounts(np.array(_sums(bigrams) or [0.0] * (K + 2)))
-    _release(docs)
+    release(docs)
 
     weights = checkpointed(by_key(bigrams.where(F.col("kind") == CONTEXTS).unionByName(told), lambda t: _weights(t, n, d, starts)))
     first = tuple(_sums(weights) or (1.0, 1.0))
-    _release(docs)
+    release(docs)
 
     names = ["n_tokens", "n_known", "base_score", "score"]
 
