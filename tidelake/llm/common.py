@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import zlib
 
 import numpy as np
@@ -25,9 +26,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Let Spark's cleaner drop the shuffle files behind what has been written to the checkpoint folder."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files behind what has been written to the checkpoint folder.
+
+    Twice: what Python lets go is detached in the JVM only after the first round.
+    """
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.25)
 
 
 def ascii_lower(c: Column) -> Column:

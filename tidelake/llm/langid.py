@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import hash_fold, mix64, text_batches
+from .common import hash_bound, hash_fold, mix64, text_batches
 
 #: Bytes of context at most.
 ORDER = 4
 #: Texts to learn from for each language, at most about so many; chosen by a hash of the id.
 SAMPLE = 400
+#: Languages that are learnt, the most frequent labels: a dirty column can't fill the driver.
+LANGUAGES = 256
 FOLDS = 5
 #: What a text's start looks like.
 START = b"\n" * ORDER
@@ -151,17 +153,18 @@ def _add(out: np.ndarray, owner: np.ndarray, table: np.ndarray, rows: np.ndarray
         out[:, j] += np.bincount(owner, weights=table[rows, j], minlength=len(out))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learn from about ``sample`` texts of each language outside the held-out fold; strings are counted on the executors.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
+    """Learn from about ``sample`` texts of each of the ``languages`` most frequent labels (ties: by name) outside the held-out fold; strings are counted on the executors.
 
-    What comes to the driver are the different strings of ORDER + 1 bytes in the sample, whose size doesn't depend on the corpus.
+    What comes to the driver are the labels' counts and the different strings of ORDER + 1 bytes in the sample, whose sizes don't depend on the corpus.
+    Null texts, labels and empty tables: nothing to learn; a model without languages calls every text 'und'.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(hash_fold(id_col, FOLDS) != 0)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return Model([], [], [], [], [])
-    shares = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(1_000_000 * min(1.0, sample / n)))])
-    rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < shares[F.col(lang_col)])
+    bounds = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, (1 << 63) - 1 if hash_bound(sample / n) is None else hash_bound(sample / n))])
+    rows = rows.where(F.xxhash64(id_col) <= bounds[F.col(lang_col)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +202,7 @@ def predict(model: Model, texts: list[bytes]) -> list[tuple[str, float, float]]:
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``lang_score`` (0 to 1) and ``bits_per_byte`` added.
 
-    A map over rows with the frozen model, whose size the sample bounds.  Null text or no letter: 'und', score 0.  Ties: the first
+    A map over rows with the frozen model, whose size the sample bounds.  Texts are scored whole, however long.  Null text or no letter: 'und', score 0.  Ties: the first
     language by name.  Null ids and repeated rows pass through.  Empty table: no rows.  Columns named like the results are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, IS_ALNUM, hash_fold, runs, span_hashes, text_batches
+from .common import FOLD, IS_ALNUM, checkpointed, hash_fold, numbered, runs, sampled, span_hashes, strings_array, text_batches
 
 #: Rows to learn from, at most about so many; chosen by a hash of the id.
 SAMPLE = 40_000
@@ -47,12 +47,18 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return s, e, np.searchsorted(ends, s, side="right")
 
 
+def different(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words: each one's number among the different ones, these in one array (folded), where they begin and end."""
+    number, found = numbered(strings_array(FOLD[data[IS_ALNUM[data]]], e - s))
+    edges = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, found.offset * 8)
+    return number, np.frombuffer(found.buffers()[2] or b"", np.uint8), edges[:-1], edges[1:]
+
+
 def tokens(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[np.ndarray]:
-    """Buckets of each word's beginnings, then of the whole word; a beginning that is the whole word or longer counts as the one before it, so -1."""
-    folded = FOLD[data]
+    """Of folded words: buckets of each word's beginnings, then of the whole word; a beginning that is the whole word or longer counts as the one before it, so -1."""
     for n, stem in enumerate((*STEMS, 1 << 40)):
         end = np.minimum(s + stem, e)
-        h = span_hashes(folded, s, end) + np.uint64(0x632BE59BD9B4E019 * (stem >= 1 << 40) & (1 << 64) - 1)
+        h = span_hashes(data, s, end) + np.uint64(0x632BE59BD9B4E019 * (stem >= 1 << 40) & (1 << 64) - 1)
         b = (h % np.uint64(BUCKETS)).astype(np.int64)
         if n and stem < 1 << 40:
             b[e - s <= STEMS[n - 1]] = -1
@@ -60,12 +66,13 @@ def tokens(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[np.ndarra
 
 
 def log_odds(model: Model, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Of each word: Beta (two-class Dirichlet) posteriors down its chain of beginnings, each the prior mean of the next."""
-    share = np.full(len(s), 0.5)
-    for b in tokens(data, s, e):
+    """Of each word: Beta (two-class Dirichlet) posteriors down its chain of beginnings, each the prior mean of the next. Different words are looked at once."""
+    number, text, first, end = different(data, s, e)
+    share = np.full(len(first), 0.5)
+    for b in tokens(text, first, end):
         one, zero = model.ones[b], model.zeros[b]
         share = np.where(b < 0, share, (one + PRIOR * share) / (one + zero + PRIOR))
-    return np.log(share) - np.log1p(-share) - DRIFT
+    return (np.log(share) - np.log1p(-share) - DRIFT)[number]
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -129,17 +136,20 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     """(id, text, label) of about ``sample`` labelled rows of the training folds; the labels kept are few enough to be broadcast."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(hash_fold(id_col, FOLDS) != 0).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) == 1).cast("int").alias("label"))
     n = known.count()
-    known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, sample / max(n, 1)))))
+    known = known.where(sampled("id", sample / max(n, 1)))
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learn from a bounded sample of labelled rows outside the held-out fold (crc32 of the id modulo 5 is 0).
 
-    Fold 4 is for calibration, the others give the counts.  Token counts are summed by bucket and class on the
+    Fold 4 is for calibration, the others give the counts.  The sample is written once.  Token counts are summed by bucket and class on the
     executors, the driver gets two tables of BUCKETS numbers at most.
+
+    Null ids, labels and texts teach nothing. Several labels of one id: 1 if one of them is. Repeated rows: each is a text. Labels of one class
+    only, or none: the curve stays as it is at first, and scores aren't calibrated.
     """
-    rows = _sampled(docs, labels, id_col, text_col, label_col, sample)
+    rows = checkpointed(_sampled(docs, labels, id_col, text_col, label_col, sample))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS))
@@ -148,10 +158,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for a, b, texts in text_batches(batch, "text"):
                 data, ends = joined(texts)
                 s, e, doc = words(data, ends)
-                for k in (0, 1):
-                    own = label[a:b][doc] == k
-                    for t in tokens(data, s[own], e[own]):
-                        sums[k] += np.bincount(t[t >= 0], minlength=BUCKETS)
+                number, text, first, end = different(data, s, e)
+                n = [np.bincount(number[label[a:b][doc] == k], minlength=len(first)) for k in (0, 1)]
+                for t in tokens(text, first, end):
+                    for k in (0, 1):
+                        sums[k] += np.bincount(t[t >= 0], weights=n[k][t >= 0], minlength=BUCKETS)
         for k in (0, 1):
             at = np.flatnonzero(sums[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(sums[k][at])], ["label", "bucket", "n"])
@@ -166,32 +177,42 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def calibrate(model: Model, rows: DataFrame) -> Model:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    """Scale and place of the extreme-value distribution from clean texts, then the curve over the evidence in all: two passes, of whose texts a few numbers each come to the driver."""
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label = batch.column("label").to_pylist()
-            for a, b, texts in text_batches(batch, "text"):
-                own = np.array(label[a:b])
-                data, ends = joined(texts)
-                s, e, doc = words(data, ends)
-                clean = log_odds(shared.value, data, s, e)[own[doc] == 0]
-                got = [(int(y), n, [x[2] for x in found]) for y, (n, found) in zip(own, measured(shared.value, texts), strict=True)]
-                got.append((-1, len(clean), [float(np.exp(x * clean).sum()) for x in SCALES]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["label", "n", "all"])
-
-    got = rows.mapInArrow(measure, "label int, n long, all array<double>").toArrow().to_pandas()
-    sums = got[got["label"] < 0]
-    got = got[(got["label"] >= 0) & (got["n"] > 0)]
-    clean = got[got["label"] == 0]
+    def over(model: Model, f, schema: str, types: list[pa.DataType]):
+        shared = rows.sparkSession.sparkContext.broadcast(model)
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                label = batch.column("label").to_pylist()
+                for a, b, texts in text_batches(batch, "text"):
+                    got = f(shared.value, np.array(label[a:b]), texts)
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], t) for k, t in enumerate(types)], ["label", "n", "x"])
+
+        return rows.mapInArrow(measure, schema).toArrow().to_pandas()
+
+    def place(m: Model, own: np.ndarray, texts: list[bytes]) -> list:
+        data, ends = joined(texts)
+        s, e, doc = words(data, ends)
+        clean = log_odds(m, data, s, e)[own[doc] == 0]
+        got = [(int(y), n, [max((x[2] for x in found), default=0.0)]) for y, (n, found) in zip(own, measured(m, texts), strict=True)]
+        return [*got, (-1, len(clean), [float(np.exp(x * clean).sum()) for x in SCALES])]
+
+    def features(m: Model, own: np.ndarray, texts: list[bytes]) -> list:
+        return [(int(y), n, evidence(m, n, [x[2] for x in found])) for y, (n, found) in zip(own, measured(m, texts), strict=True)]
+
+    layout = ("label int, n long, x array<double>", [pa.int32(), pa.int64(), pa.list_(pa.float64())])
+    got = over(model, place, *layout)
+    sums, clean = got[got["label"] < 0], got[(got["label"] == 0) & (got["n"] > 0)]
     if len(clean):
         # The scale is the root of E[exp(scale x score)] = 1 over clean words; the place is the median of a Gumbel distribution.
-        scale = float(SCALES[np.abs(np.log(np.stack(sums["all"]).sum(axis=0) / sums["n"].sum())).argmin()])
-        top = np.array([max(x, default=0.0) for x in clean["all"]]) - np.log(clean["n"]) / scale
+        scale = float(SCALES[np.abs(np.log(np.stack(sums["x"]).sum(axis=0) / sums["n"].sum())).argmin()])
+        top = np.concatenate(clean["x"].to_numpy()) - np.log(clean["n"].to_numpy()) / scale
         model = model._replace(scale=scale, constant=float(np.exp(scale * np.median(top) + np.log(np.log(2)))))
+    got = over(model, features, *layout)
+    got = got[got["n"] > 0]
     if got["label"].nunique() == 2:
-        x = np.array([evidence(model, n, every) for n, every in zip(got["n"], got["all"], strict=True)])
-        y = got["label"].to_numpy(float)
+        x, y = np.stack(got["x"]), got["label"].to_numpy(float)
         w = np.zeros(x.shape[1])
         for _ in range(50):  # Newton's method with a small ridge
             p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
@@ -205,7 +226,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """(id, score, n_words, passages): the probability of class 1, and every significant passage with its first and last word (by number) and its score.
 
     A map over rows; the model has a fixed size and is broadcast.  Null or empty text: no words, no passages, the share of class 1
-    as score.  Null ids and repeated rows pass through.  Empty table: no rows.  Other columns are left out.
+    as score.  Texts are scored whole, however long.  Null ids and repeated rows pass through.  Ties: equal texts, equal scores.  Empty table: no rows.
+    Other columns are left out, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType
