@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALL, ROW, ascii_lower, checkpointed, strip, with_columns
+from .common import ALL, KEY, ascii_lower, checkpointed, strip, text_key, with_columns
 
 
 def split_lines(text: Column) -> Column:
@@ -23,35 +23,36 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted per hash; a line whose key has ``min_chars`` code points and occurs in ``min_docs`` documents is dropped
     in all but the largest id that holds it; the rest is put together by position.
 
-    Only hashes and positions are shuffled for the counting: text moves once, for the last join by row.  The
+    Only hashes and positions are shuffled for the counting, and lines are taken apart once: text moves once, for the last join. Rows are known by
+    their id and their text's MD5, however the table is cut when it is read again. Lines and the
     frequent hashes are checkpointed, so that a very common line is joined by a sort-merge join which
     adaptive execution can split.
 
-    Null or empty text: one empty line, kept.  Null ids: one document, below all others.  Repeated rows: one
-    document, each row treated alike.  Empty table: no rows.  Columns named like the three results are replaced.
+    Null or empty text: one empty line, kept.  Long texts: as any, their dropped positions are one array.  Null ids: one document, below all
+    others.  Repeated rows: one document, each row treated alike.  Ties: a line that its last document holds twice stays twice.  Empty table: no
+    rows.  Columns named like the three results are replaced.
     """
-    rows = docs.select(F.struct(*docs.columns).alias(ALL), F.monotonically_increasing_id().alias(ROW))
-    lines = (
-        rows.select(ROW, F.col(ALL)[id_col].alias("id"), F.posexplode(F.transform(split_lines(F.col(ALL)[text_col]), line_key)).alias("pos", "key"))
+    lines = checkpointed(
+        docs.select(text_key(id_col, F.col(text_col)).alias(KEY), F.posexplode(F.transform(split_lines(F.col(text_col)), line_key)).alias("pos", "key"))
         .where(F.length("key") >= min_chars)
-        .select(ROW, "id", "pos", F.unhex(F.md5(F.col("key").cast("binary"))).alias("hash"))
+        .select(KEY, "pos", F.unhex(F.md5(F.col("key").cast("binary"))).alias("hash"))
     )
     frequent = (
         lines.groupBy("hash")
-        .agg(F.countDistinct(F.struct("id")).alias("n"), F.max(F.struct("id"))["id"].alias("last"))
+        .agg(F.countDistinct(F.struct(f"{KEY}.id")).alias("n"), F.max(F.struct(f"{KEY}.id"))["id"].alias("last"))
         .where(F.col("n") >= min_docs)
         .select(F.col("hash").alias("h"), "last")
     )
-    frequent = checkpointed(frequent)
     dropped = (
-        lines.join(frequent, F.col("hash") == F.col("h"))
-        .where(~F.col("id").eqNullSafe(F.col("last")))
-        .groupBy(F.col(ROW).alias("r"))
-        .agg(F.collect_list("pos").alias("gone"))
+        lines.join(checkpointed(frequent), F.col("hash") == F.col("h"))
+        .where(~F.col(f"{KEY}.id").eqNullSafe(F.col("last")))
+        .groupBy(F.col(KEY).alias("k"))
+        .agg(F.collect_set("pos").alias("gone"))
     )
+    rows = docs.select(F.struct(*docs.columns).alias(ALL), text_key(id_col, F.col(text_col)).alias(KEY))
     whole = split_lines(F.col(ALL)[text_col])
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.col("gone")), lambda i: F.get(whole, i))
-    return rows.join(dropped, F.col(ROW) == F.col("r"), "left").select(
+    return rows.join(dropped, F.col(KEY) == F.col("k"), "left").select(
         *with_columns(
             docs,
             ALL,
