@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ALL, ROW, checkpointed, with_columns
+from .common import ALL, checkpointed, with_columns
 
 
 class Rule(NamedTuple):
@@ -39,7 +40,6 @@ MORE_RULES = (
     Rule("jwt", "eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]+", "eyJ"),
 )
 RULES = BASE_RULES + MORE_RULES
-RULE_VERSION = "1"
 
 
 def _matches(rule: Rule, text: Column) -> Column:
@@ -56,50 +56,67 @@ def _matches(rule: Rule, text: Column) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, text) -> (blob, spans): ``spans`` has (start, rank, kind, end), in that order, in code points, end exclusive.
+    """(blob, text), one row for each blob -> (blob, spans): ``spans`` has (start, rank, kind, end), in that order, in code points, end exclusive.
 
-    Rows for blobs with a finding only.  Leftmost matches of a rule that don't overlap; positions are running sums of the lengths
+    Leftmost matches of a rule that don't overlap; positions are running sums of the lengths
     between and of the matches.
     """
-    by_rule = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(r.kind).alias("kind"), _matches(r, F.col("text")).alias("ms")) for k, r in enumerate(rules)])
+    by_rule = F.array(
+        *[F.struct(F.lit(k).alias("rank"), F.lit(r.kind).alias("kind"), _matches(r, F.col("text")).alias("ms")) for k, r in enumerate(rules)],
+        # So that each blob has a row: something that isn't a finding.
+        F.struct(F.lit(len(rules)).alias("rank"), F.lit("").alias("kind"), F.array(F.struct(F.lit(0).alias("skip"), F.lit(0).alias("len"), F.lit(False).alias("ok"))).alias("ms")),
+    )
     each = blobs.select("blob", F.explode(by_rule).alias("r")).where(F.size("r.ms") > 0).select("blob", "r.rank", "r.kind", F.posexplode("r.ms").alias("i", "m"))
     w = Window.partitionBy("blob", "rank").orderBy("i")
     end = F.sum(F.col("m.skip") + F.col("m.len")).over(w)
     return (
         each.withColumn("end", end)
-        .where("m.ok")
         .groupBy("blob")
-        .agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("m.len")).alias("start"), "rank", "kind", "end"))).alias("spans"))
+        .agg(F.sort_array(F.collect_list(F.when(F.col("m.ok"), F.struct((F.col("end") - F.col("m.len")).alias("start"), "rank", "kind", "end")))).alias("spans"))
     )
 
 
-def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """Scan what is new in ``versions`` (one row for every version of every path) and return (versions with blob, new ledger).
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """A version that follows from the rules themselves."""
+    return hashlib.sha256(repr([tuple(r) for r in rules]).encode()).hexdigest()[:16]
+
+
+def new_findings(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scan what is new in ``versions`` (one row for every version of every path) and return (versions with blob, rows to append to the ledger).
 
     The ledger has a row (blob, rule_version, spans) for every text ever scanned under a version of the rules;
     blob is the text's SHA-256.  A text that many rows share is scanned once, one in the ledger under
-    this rule version not at all.  One row is chosen for each blob from the hashes alone; only its text is shuffled.
+    this rule version not at all.  Copies are put together where they are read, before texts are shuffled.  A
+    version that isn't given is a hash of the rules, so findings of other rules are never taken for these.
     """
-    rows = versions.select(F.struct(*versions.columns).alias(ALL), F.monotonically_increasing_id().alias(ROW))
-    text = F.coalesce(F.col(ALL)[text_col], F.lit(""))
-    named = rows.select(ALL, ROW, F.sha2(text.cast("binary"), 256).alias("blob"))
-    chosen = named.groupBy("blob").agg(F.min(ROW).alias("r"))
+    version = version_of(rules) if rule_version is None else rule_version
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    blob = F.sha2(text.cast("binary"), 256)
+    texts = versions.select(blob.alias("blob"), text.alias("text"))
     if ledger is not None:
-        chosen = chosen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    fresh = rows.select(ROW, text.alias("text")).join(chosen, F.col(ROW) == F.col("r")).select("blob", "text")
-    found = scan_blobs(fresh, rules)
-    new = chosen.select("blob").join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)).alias("spans"))
-    return named, checkpointed(new if ledger is None else ledger.unionByName(new))
+        texts = texts.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
+    texts = texts.dropDuplicates(["blob"])
+    # Every rule's findings of a text, or an empty list, so that a text without any isn't scanned again.
+    found = scan_blobs(texts, rules)
+    new = found.select("blob", F.lit(version).alias("rule_version"), "spans")
+    return versions.select(F.struct(*versions.columns).alias(ALL), blob.alias("blob")), checkpointed(new)
+
+
+def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(versions with blob, the ledger with what is new): only new rows are written, the earlier ledger stays as it is."""
+    named, new = new_findings(versions, ledger, text_col, rules, rule_version)
+    return named, new if ledger is None else ledger.unionByName(new)
 
 
-def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str | None = None) -> DataFrame:
     """``docs`` with ``blob`` and ``secret_spans`` added: the ledger's findings joined back to every row.
 
-    Null text: as empty.  Repeated rows: one blob, each row kept.  Ties by start: in the order of the rules.
+    Null text: as empty.  Long texts are scanned whole.  Null ids pass through.  Repeated rows: one blob, each row kept.  Ties by start: in the order of the rules.
     Empty table: no rows.  Columns with these two names are replaced.
     """
     named, ledger = update_ledger(docs, ledger, text_col, rules, rule_version)
-    found = ledger.where(F.col("rule_version") == rule_version).select(F.col("blob").alias("b"), "spans")
+    version = version_of(rules) if rule_version is None else rule_version
+    found = ledger.where(F.col("rule_version") == version).select(F.col("blob").alias("b"), "spans")
     return named.join(found, F.col("blob") == F.col("b")).select(*with_columns(docs, ALL, {"blob": F.col("blob"), "secret_spans": F.col("spans")}))
 
 
