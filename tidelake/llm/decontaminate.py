@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
+from pyspark.sql.window import Window
 
-from .common import ALL, FOLD, IS_ALNUM, checkpointed, runs, text_batches
+from .common import ALL, FOLD, IS_ALNUM, KEY, checkpointed, runs, text_batches, text_key
 
 WINDOW = 8
 MIN_ITEMS = 2
@@ -21,7 +22,9 @@ BLOCK_BYTES = 4 << 20
 #: Patterns are searched for by class of length, so that a short one doesn't shorten the others' shifts; each class begins at so many bytes.
 CLASSES = (1, 3, 8, 20)
 HASH_BITS = 18
-RANGES = ArrayType(StructType().add("first", LongType()).add("end", LongType()))
+#: Our own column: what is found in a text.
+FOUND = "__tl_found"
+FOUND_TYPE = StructType().add("n_words", LongType()).add("ranges", ArrayType(StructType().add("first", LongType()).add("end", LongType()))).add("items", ArrayType(StringType()))
 
 
 class Patterns(NamedTuple):
@@ -156,34 +159,57 @@ def decontaminate(docs: DataFrame, tests: DataFrame, text_col: str = "text", ite
     """``docs`` with ``n_words``, ``n_hit`` (words in an occurrence), ``items`` (sorted as text) and ``contaminated`` (``min_items`` items or more) added.
 
     A window is ``window`` consecutive words of an item; a shorter item is one window.  A benchmark of up to ``block_bytes`` is broadcast,
-    its size checked, and the search is a map over rows; a larger one is dealt into blocks of about that size, each of which is
-    searched for in all rows, and the parts are put together by row.
+    its size checked, and the search is a map over rows.  A larger one is dealt into blocks of that size by running sums of sizes (an
+    item may be in several rows); each block is searched for in the different texts, and the parts are put together by the texts' MD5.
 
-    Null text: no words.  Null item id: named as an empty text.  Repeated items count once by id.  Empty benchmark: nothing is
-    hit.  Repeated rows and null ids pass through.  Columns named like the results are replaced.
+    Null text: no words.  Long texts are searched whole; a long item makes a large block by itself.  Null item id: named as an empty text.  Repeated
+    items count once by id.  Ties: none, items are sorted by name.  Empty benchmark: nothing is
+    hit.  Empty table: no rows.  Repeated rows and null ids pass through.  Columns named like the results are replaced.
     """
     items = tests.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).where(F.length("text") > 0)
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = 1 if total <= block_bytes else 2 * -(-total // block_bytes)
     kept = [c for c in docs.columns if c.lower() not in {"n_words", "n_hit", "items", "contaminated"}]
-    frame, at = docs.select(*kept), [c.lower() for c in kept].index(text_col.lower())
-    if blocks == 1:
-        schema = StructType(list(frame.schema.fields)).add("n_words", "long").add("ranges", RANGES).add("items", ArrayType(StringType()))
-        found = frame.mapInArrow(_searcher(_broadcast(items, window), at, True), schema)
+    text = next(c for c in kept if c.lower() == text_col.lower())
+    if total <= block_bytes:
+        frame = docs.select(*kept)
+        schema = StructType(list(frame.schema.fields)).add(FOUND, FOUND_TYPE)
+        found = frame.mapInArrow(_searcher(_broadcast(items, window), kept.index(text), True), schema)
     else:
-        rows = frame.select(F.struct(*kept).alias(ALL), F.monotonically_increasing_id().alias("r"))
-        texts = rows.select("r", F.col(ALL)[text_col].alias("text"))
-        part = "r long, n_words long, ranges array<struct<first:bigint,end:bigint>>, items array<string>"
-        parts = [checkpointed(texts.mapInArrow(_searcher(_broadcast(items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b), window), 1, False), part).where((F.size("items") > 0) | F.lit(b == 0))) for b in range(blocks)]
-        whole = reduce(DataFrame.unionByName, parts).groupBy("r").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        found = rows.join(whole, "r").select(f"{ALL}.*", "n_words", "ranges", "items")
+        texts = checkpointed(docs.select(text_key(None, F.col(text)).alias(KEY), F.col(text).alias("text")).dropDuplicates([KEY]))
+        schema = StructType().add(KEY, texts.schema[KEY].dataType).add(FOUND, FOUND_TYPE)
+        parts = []
+        for block in _blocks(items, total, block_bytes):
+            hit = texts.mapInArrow(_searcher(_broadcast(block, window), 1, False), schema)
+            parts.append(checkpointed(hit if not parts else hit.where(F.size(F.col(FOUND)["items"]) > 0)))
+        whole = (
+            reduce(DataFrame.unionByName, parts)
+            .groupBy(F.col(KEY).alias("k"))
+            .agg(F.struct(F.max(F.col(FOUND)["n_words"]).alias("n_words"), F.flatten(F.collect_list(F.col(FOUND)["ranges"])).alias("ranges"), F.array_distinct(F.flatten(F.collect_list(F.col(FOUND)["items"]))).alias("items")).alias(FOUND))
+        )
+        rows = docs.select(F.struct(*kept).alias(ALL), text_key(None, F.col(text)).alias(KEY))
+        found = rows.join(checkpointed(whole), F.col(KEY) == F.col("k")).select(*[F.col(ALL)[c].alias(c) for c in kept], FOUND)
+    got = F.col(FOUND)
     # Ranges are merged in order of their beginnings: what each adds is what is past the furthest end so far.
     merged = F.aggregate(
-        F.array_sort("ranges"),
+        F.array_sort(got["ranges"]),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach")),
         lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(x["first"], s["reach"]))).alias("n"), F.greatest(s["reach"], x["end"]).alias("reach")),
     )["n"]
-    return found.select(*kept, "n_words", merged.alias("n_hit"), F.array_sort("items").alias("items"), (F.size("items") >= min_items).alias("contaminated"))
+    return found.select(*kept, got["n_words"].alias("n_words"), merged.alias("n_hit"), F.array_sort(got["items"]).alias("items"), (F.size(got["items"]) >= min_items).alias("contaminated"))
+
+
+def _blocks(items: DataFrame, total: int, block_bytes: int) -> Iterator[DataFrame]:
+    """The rows of the benchmark in blocks of at most ``block_bytes``, or one row: numbered by running sums of sizes, within buckets of rows and over the buckets' sums, and written once."""
+    buckets = -(-total // block_bytes)
+    dealt = checkpointed(items.withColumn("bucket", F.pmod(F.xxhash64("item", "text"), F.lit(buckets))))
+    sums = dealt.groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("size"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    inside = Window.partitionBy("bucket").orderBy("item", "text").rowsBetween(Window.unboundedPreceding, -1)
+    place = dealt.withColumn("within", F.coalesce(F.sum(F.octet_length("text")).over(inside), F.lit(0))).join(sums.select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before")), "bucket")
+    # A row that begins in the first half of a block and one that begins in its second half are in different ones, so rows of up to half a block fill none beyond its size.
+    cut = checkpointed(place.select("item", "text", F.floor((F.col("before") + F.col("within")) / F.lit(max(1, block_bytes // 2))).alias("block")))
+    for row in cut.select("block").distinct().orderBy("block").toLocalIterator():
+        yield cut.where(F.col("block") == row["block"]).select("item", "text")
 
 
 def _broadcast(items: DataFrame, window: int):
@@ -192,7 +218,7 @@ def _broadcast(items: DataFrame, window: int):
 
 
 def _searcher(shared, at: int, whole: bool):
-    """Rows (all their columns where ``whole``, else the first) with what is found in the text in column ``at``."""
+    """Rows (all their columns where ``whole``, else the first) with what is found in the text in column ``at``, as one struct."""
     ranges = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +228,7 @@ def _searcher(shared, at: int, whole: bool):
             for a, b, texts in text_batches(batch, at):
                 got = search(texts, shared.value)
                 new = [pa.array([x[0] for x in got], pa.int64()), pa.array([[{"first": p, "end": q} for p, q in x[1]] for x in got], ranges), pa.array([sorted(x[2]) for x in got], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in columns], *new], [*names, "n_words", "ranges", "items"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in columns], pa.StructArray.from_arrays(new, ["n_words", "ranges", "items"])], [*names, FOUND])
 
     return run
 
