@@ -19,9 +19,9 @@ from .common import text_batches
 WIDTH, HEIGHT, FPS = 64, 16, 25
 #: Lengths of the Huffman codes of the difference categories 0 to 8: 3 bits for the middle ones.
 LENGTHS = (4, 4, 4, 3, 3, 3, 3, 3, 4)
-#: A cut is a difference of histograms above the mean of the last WINDOW ones by SIGMAS deviations, and above LEAST.
 #: Bytes of text coded at a time, so that what is at hand stays in the processor's cache.
 CHUNK = 1 << 18
+#: A cut is a difference of histograms above the mean of the last WINDOW ones by SIGMAS deviations, and above LEAST.
 BINS, WINDOW, SIGMAS, LEAST = 16, 8, 2.0, 0.25
 
 
@@ -294,7 +294,8 @@ def cuts(frames: np.ndarray) -> np.ndarray:
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, media): each text's bytes, filled with zeros to a positive multiple of WIDTH, as an AVI file.
 
-    Null text: as empty.  Null ids and repeated rows: a row each.  Empty table: no rows.  Other columns are left out.
+    Null text: as empty.  A long text is one file of as many frames as it fills.  Null ids and repeated rows: a row each.  Ties: equal texts, equal files.  Empty
+    table: no rows.  Other columns are left out, whatever their names.
     """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +313,8 @@ def padded(text: bytes) -> bytes:
 def clips(media: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """(id, clip, first_frame, n_frames, start_s, end_s): a row for each shot of each AVI file.
 
-    Null media: no rows.  A file that can't be read: one row with clip -1, no times.  Repeated rows: rows for each.
+    Null media: no rows.  A file that can't be read (an empty one, say): one row with clip -1, no times.  Long files: read whole.  Null ids pass through.  Repeated
+    rows: rows for each.  Ties: none, frames have an order.  Empty table: no rows.  Other columns are left out.
     """
     kind = media.schema[id_col].dataType
 
