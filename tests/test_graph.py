@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidelake.operators.frame import ZFrame, rows_of
 from tidelake.plans.feedback import CreationContext
+from tidelake.plans.games import fingers
 from tidelake.plans.graph import ContextMismatch
 
 
@@ -157,3 +159,46 @@ def test_changes_add_up_to_snapshots(spark):
         za, zb = rows_of(spark, all_a, "k int, v int", None), rows_of(spark, all_b, "k int, u int", None)
         for n, (_, f) in made.items():
             assert ZFrame(outs[n].get(x)) == f(za, zb), n
+
+
+def test_records_of_a_game_graph(spark):
+    """The counts of change records that don't depend on the order of propagation, in the dump: positions with copies, positions, children."""
+    x, *_ = fingers(spark, count_records=True)
+    out = io.StringIO()
+    x.dump_dot(out)
+    labels = dict(re.findall(r'label="(\w+)\\n\w+\\n(\d+)"', out.getvalue()))
+    assert {k: int(labels[k]) for k in ("positions_dupped", "positions", "starting_values", "pos_children")} == {"positions_dupped": 3085, "positions": 1163, "starting_values": 1163, "pos_children": 3084}
+
+
+def test_interrupts_have_the_type_that_was_named(spark):
+    for kind, fine in ((int, True), (str, False)):
+        c = CreationContext.new_(spark, kind)
+        i, r = c.new_input("n int")
+        c.interrupt(r.into_output(), lambda df: df.count())
+        x = c.begin()
+        i.add(1)
+        if fine:
+            assert x.commit() == 1
+        else:
+            with pytest.raises(TypeError):
+                x.commit()
+    c = CreationContext.new(spark)
+    _, r = c.new_input("n int")
+    with pytest.raises(TypeError):
+        c.interrupt(r.into_output())
+
+
+def test_indices_handles_and_reductions(spark):
+    c = CreationContext(spark)
+    i, r = c.new_input("k int, v int")
+    heard = []
+    i.add_listener(heard.append)
+    best, results = r.reduce_with_output_("k", lambda z: z.reduce("k", F.max("v").alias("v")), lambda z: z.map("v").consolidate().df.drop("w"))
+    o = best.into_output()
+    assert (i.tracking_index, r.tracking_index, best.tracking_index, o.tracking_index) == (0, 0, 1, 3)
+    assert best.is_reduce and not r.is_reduce and results.get_relation() is best
+    x = c.begin()
+    i.add_all([(1, 2), (1, 3)])
+    i.clone().add(2, 5)
+    x.commit()
+    assert rows(o.get(x)) == [(1, 3, 1), (2, 5, 1)] and rows(results.inspect(x)) == [(3,), (5,)] and len(heard) == 2

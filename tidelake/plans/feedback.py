@@ -124,13 +124,18 @@ class WhileFeed(Feeder):
 class Stop(Feeder):
     """Interrupts the commit when the output isn't empty; not again until the output changes."""
 
-    def __init__(self, graph: Graph, output: Output, f: Callable[[DataFrame], Any]):
+    def __init__(self, graph: Graph, output: Output, f: Callable[[DataFrame], Any], kind: type):
         super().__init__(graph, output)
-        self.f = f
+        self.f, self.kind = f, kind
 
     def visit(self) -> bool | Interrupt:
         now = self.output.get()
-        return False if now.isEmpty() else Interrupt(self.f(now))
+        if now.isEmpty():
+            return False
+        value = self.f(now)
+        if not isinstance(value, self.kind):
+            raise TypeError(f"an interrupt of {type(value).__name__}, not {self.kind.__name__}")
+        return Interrupt(value)
 
 
 class ExecutionContext(Context):
@@ -174,15 +179,28 @@ class ExecutionContext(Context):
 class CreationContext(Context):
     """A graph under construction."""
 
-    def __init__(self, spark: SparkSession, count_records: bool = False):
+    def __init__(self, spark: SparkSession, count_records: bool = False, interrupt_type: type | None = object):
+        """``interrupt_type``: what interrupts may carry; None: the graph has no interrupts."""
         self.graph = Graph(spark, count_records)
-        self.graph.queue = []
+        self.graph.queue, self.interrupt_type = [], interrupt_type
         self.inputs: list[Input] = []
 
+    @classmethod
+    def new(cls, spark: SparkSession) -> CreationContext:
+        """A context whose commits can't be interrupted."""
+        return cls(spark, interrupt_type=None)
+
+    @classmethod
+    def new_(cls, spark: SparkSession, interrupt_type: type) -> CreationContext:
+        """A context whose interrupts carry values of this type."""
+        return cls(spark, interrupt_type=interrupt_type)
+
     def new_input(self, schema: StructType | str) -> tuple[Input, Relation]:
         return self._input(schema, None)
 
-    new_input_ = new_input
+    def new_input_(self, schema: StructType | str) -> tuple[Input, Relation]:
+        """Raw items: any columns, among which ``map_`` may take the weight; each item that is added counts once."""
+        return self._input(schema, None)
 
     def new_trackable_input(self, schema: StructType | str) -> tuple[Input, Relation]:
         """An input whose changes ``in_frame`` takes back."""
@@ -215,7 +233,9 @@ class CreationContext(Context):
 
     def interrupt(self, output: Output, f: Callable[[DataFrame], Any] = lambda df: df) -> None:
         self._same(output)
-        Stop(self.graph, output, f)
+        if self.interrupt_type is None:
+            raise TypeError("a context without interrupts")
+        Stop(self.graph, output, f, self.interrupt_type)
 
     def first_occurrences(self, relation: Relation, keys: str | list[str]) -> Relation:
         """Per key, for ever, the rows that were there in the first commit that had the key."""
