@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALL, ROW, checkpointed, mix64, text_batches, with_columns
+from .common import ALL, KEY, ROW, checkpointed, mix64, text_batches, text_key, with_columns
 from .components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -20,8 +20,13 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 LENGTH, CHECKS = 23, 11
 #: Generator of the code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
-#: Members of one key up to which all of them are compared at once; a larger group is walked.
+#: Members of one key up to which all of them are compared at once; a larger group is cut by parts of the print, and what is still large is walked.
 SMALL = 12
+#: Parts of a print of one word, of so many bits: four differing bits leave one of five equal.
+PARTS = (0, 13, 26, 39, 52)
+PART = 13
+#: Different prints that a task expands to keys.
+PRINTS_PER_TASK = 16_384
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -115,8 +120,8 @@ def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return n if n.ndim == 1 else n.sum(axis=-1, dtype=np.int64)
 
 
-def linked(keys: np.ndarray, prints: np.ndarray, base: np.ndarray, bits: int = BITS, nodes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links among the prints of each key (keys sorted): as many as keep what is connected together. ``nodes``: the prints' names."""
+def linked(keys: np.ndarray, prints: np.ndarray, base: np.ndarray, bits: int = BITS, nodes: np.ndarray | None = None, cut: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links among the prints of each key (keys sorted): as many as keep what is connected together. ``nodes``: the prints' names; ``cut``: keys of large groups have parts of the prints in them already."""
     nodes = prints if nodes is None else nodes
     first = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
     size = np.diff(np.concatenate([first, [len(keys)]]))
@@ -129,10 +134,22 @@ def linked(keys: np.ndarray, prints: np.ndarray, base: np.ndarray, bits: int = B
             hit = (base[x] | base[y]) & (differing(prints[x], prints[y]) <= bits)
             left.append(nodes[x[hit]])
             right.append(nodes[y[hit]])
-    for at, m in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        x, y = walked(prints[at : at + m], base[at : at + m], bits)
-        left.append(nodes[at + x])
-        right.append(nodes[at + y])
+    large = size > SMALL
+    if not cut and prints.ndim == 1 and bits < len(PARTS) and large.any():
+        # Within a key, prints that are linked are equal in one part at least: a key of its number, the part's and its bits.
+        at = np.flatnonzero(np.repeat(large, size))
+        own = np.repeat(np.arange(len(first), dtype=np.uint64), size)[at] * np.uint64(len(PARTS))
+        key = np.concatenate([(own + np.uint64(k)) << np.uint64(PART) | (prints[at] >> np.uint64(shift)) & np.uint64((1 << PART) - 1) for k, shift in enumerate(PARTS)])
+        order, rows = np.argsort(key, kind="stable"), np.tile(at, len(PARTS))
+        rows = rows[order]
+        x, y = linked(key[order], prints[rows], base[rows], bits, nodes[rows], True)
+        left.append(x)
+        right.append(y)
+    else:
+        for at, m in zip(first[large].tolist(), size[large].tolist(), strict=True):
+            x, y = walked(prints[at : at + m], base[at : at + m], bits)
+            left.append(nodes[at + x])
+            right.append(nodes[at + y])
     x, y = np.concatenate(left), np.concatenate(right)
     return np.minimum(x, y), np.maximum(x, y)
 
@@ -209,7 +226,9 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
                 keys, row, base = golay_keys(p)
                 yield pa.RecordBatch.from_arrays([pa.array((keys << np.uint64(1) | base).view(np.int64)), pa.array(p[row].view(np.int64))], ["key", "print"])
 
-    keys = prints.select("print").distinct().mapInArrow(keys_of, "key long, print long")
+    different = checkpointed(prints.select("print").distinct())
+    tasks = max(1, -(-different.count() // PRINTS_PER_TASK))
+    keys = different.repartition(tasks, "print").mapInArrow(keys_of, "key long, print long")
     return keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(_matcher(bits), "a long, b long")
 
 
@@ -253,15 +272,17 @@ def node(words: np.ndarray) -> np.ndarray:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """(ROW, id, fingerprint, component_id): a row for each row of ``docs``; component_id is the smallest id in its component.
 
-    Equal fingerprints are one node, so copies never meet in pairs. Null or empty text: fingerprint 0, linked like any other. Null
-    ids: never a component's id, unless it has no other. Repeated rows: one component. Empty table: no rows. Other columns
-    are left out.
+    Equal fingerprints are one node, so copies never meet in pairs. Null or empty text: fingerprint 0, linked like any other. A long text's
+    shingles are counted whole. Null
+    ids: never a component's id, unless it has no other. Repeated rows: one component. Ties of ids: one component's id. Empty table: no rows. Other columns
+    are left out, whatever their names.
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     roots = components(links(prints, bits))
     nodes = prints.groupBy(F.col("print").alias("p")).agg(F.min("id").alias("least"))
     placed = nodes.join(roots, F.col("p") == F.col("node"), "left").select("p", "least", F.coalesce("root", "p").alias("root"))
-    smallest = placed.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    # Minima are written first: both sides of the join are then exchanged, and a component with many prints can be split.
+    smallest = checkpointed(placed.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")))
     known = checkpointed(placed.select("p", "root").join(smallest, F.col("root") == F.col("r")).select("p", "component_id"))
     return prints.join(known, F.col("print") == F.col("p")).select(ROW, "id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -420,29 +441,32 @@ def _alike(similarity: float):
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(ROW, id, component): components of documents linked where the Jaccard similarity of their sets of shingles is ``similarity`` or more.
+    """(key, id, component), a row for each document: components of documents linked where the Jaccard similarity of their sets of shingles is ``similarity`` or more.
 
     Equal sets are one node, so copies never meet in pairs. Of two texts at the threshold 99.99 % share one of the keys (24 at 0.8), each a hash of
     five MinHash values; above it, more. Pairs of a key whose sketches are far apart (five deviations past what is expected at the threshold) are
     left out; every other link is decided on both sets. A large group is compared in three rounds, the last of which leaves no pair
-    out but those that are connected already. Null or empty text: as any texts without words, one component.
+    out but those that are connected already. The key is ``text_key``: id and the text's MD5.
+
+    Null or empty text: as any texts without words, one component. Long texts: whole. Null ids: like any. Repeated rows: one component. Ties: none. Empty
+    table: no rows. Other columns are left out, whatever their names.
     """
     n_keys, limit = keys_at(similarity), bits_at(similarity)
-    rows = docs.select(F.monotonically_increasing_id().alias(ROW), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(text_key(id_col, F.col(text_col)).alias(KEY), F.col(text_col).alias("text"))
+    kind = rows.schema[KEY].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            for a, b, texts in text_batches(batch, 2):
+            for a, b, texts in text_batches(batch, 1):
                 sets = [shingles(t, shingle) for t in texts]
                 own = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) if len(h) else 0 for h in sets], np.uint64)
                 n = max(n_keys * KEY_VALUES, SKETCH)
                 keys, sketches = keys_and_sketches(np.stack([minhashes(h, n) if len(h) else np.zeros(n, np.uint64) for h in sets]), n_keys)
                 packed = [k.tobytes() if len(h) else b"" for k, h in zip(keys, sets, strict=True)]
                 cols = [own, *[np.ascontiguousarray(sketches[:, i]) for i in range(2)]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *[pa.array(c.view(np.int64)) for c in cols], pa.array(packed, pa.binary())], [ROW, "id", "own", "p0", "p1", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(c.view(np.int64)) for c in cols], pa.array(packed, pa.binary())], [KEY, "own", "p0", "p1", "keys"])
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -457,11 +481,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for a, b, texts in text_batches(batch, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([shingles(t, shingle).tobytes() for t in texts], pa.binary())], ["node", "set"])
 
-    prints = checkpointed(rows.mapInArrow(make, f"{ROW} long, id {kind}, own long, p0 long, p1 long, keys binary"))
+    prints = checkpointed(rows.mapInArrow(make, f"{KEY} {kind}, own long, p0 long, p1 long, keys binary"))
     dealt = prints.where(F.length("keys") > 0).select("own", "p0", "p1", "keys").distinct().mapInArrow(keys_of, "key long, node long, p0 long, p1 long")
     met = checkpointed(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long, p0 long, p1 long, many long"))
-    chosen = prints.select("own", ROW).join(met.select("node").distinct(), F.col("own") == F.col("node")).groupBy("node").agg(F.min(ROW).alias("r"))
-    sets = checkpointed(rows.select(ROW, "text").join(chosen, F.col(ROW) == F.col("r")).select("node", "text").mapInArrow(sets_of, "node long, set binary"))
+    # A text of each node that met others; the texts of its other copies stay where they are.
+    chosen = prints.select("own", F.col(KEY)["text"].alias("t")).join(met.select("node").distinct(), F.col("own") == F.col("node")).groupBy("node").agg(F.min("t").alias("t"))
+    texts = rows.select(F.col(KEY)["text"].alias("m"), "text").join(chosen, F.col("m") == F.col("t"))
+    sets = checkpointed(texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(sets_of, "node long, set binary"))
     links = roots = None
     for round_ in range(3):
         now = met.withColumn("root", F.col("node"))
@@ -475,15 +501,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             continue
         links = found if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
         roots = checkpointed(components(links))
-    return prints.select(ROW, "id", "own").join(roots, F.col("own") == F.col("node"), "left").select(ROW, "id", F.coalesce("root", "own").alias("component"))
+    return prints.select(KEY, "own").join(roots, F.col("own") == F.col("node"), "left").select(KEY, F.col(KEY)["id"].alias("id"), F.coalesce("root", "own").alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that come first by id in their component, one for each; all columns.  Null ids come last."""
+    """The rows of ``docs`` that come first by id in their component, one for each; all columns.
+
+    Null ids come last; of equal ids the text with the smaller MD5 comes first, and of rows equal in id and text any one stays. For other cases see ``similar_documents``.
+    """
     found = similar_documents(docs, id_col, text_col, shingle, similarity)
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW))[ROW].alias("r"))
-    rows = docs.select(F.struct(*docs.columns).alias(ALL), F.monotonically_increasing_id().alias(ROW))
-    return rows.join(first, F.col(ROW) == F.col("r")).select(*with_columns(docs, ALL, {}))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col(KEY).alias("k")))["k"].alias("k"))
+    rows = docs.select(F.struct(*docs.columns).alias(ALL), text_key(id_col, F.col(text_col)).alias(KEY))
+    one = rows.join(checkpointed(first), F.col(KEY) == F.col("k")).groupBy(KEY).agg(F.first(ALL).alias(ALL))
+    return one.select(*with_columns(docs, ALL, {}))
 
 
 def query(docs: DataFrame) -> DataFrame:
