@@ -6,6 +6,7 @@ import heapq
 from collections.abc import Callable
 from typing import IO, Any, TypeVar
 
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from pyspark.sql.types import StructType
 
 from tidelake.operators.frame import W, ZFrame, _list
 
-from .graph import Context, ContextMismatch, Graph, Input, Node, Output, Relation, Source, written
-from .storage import Change, State
+from .graph import Context, ContextMismatch, Delta, Graph, Input, Node, Output, Relation, Source, written
+from .storage import Change, as_change, summed, union
 
 R = TypeVar("R")
 #: Rounds of feedback in one commit after which a program counts as endless.
@@ -57,7 +58,7 @@ class Sink(Output):
         self.kind = "feed"
         self.fresh: list[Change] = []
 
-    def step(self, changes: list[ZFrame | None]) -> None:
+    def step(self, changes: list[Delta | None]) -> None:
         change = written(changes[0], self)
         if change is not None:
             self.fresh.append(change)
@@ -68,46 +69,80 @@ class Sink(Output):
         return got
 
 
+def sent(target: Input, change: Change) -> None:
+    """Send the target's columns of a change; what is at hand stays at hand."""
+    names = [*target.source.schema.names, W]
+    df = change.df.select(*names)
+    table = summed(change.local.select(names), df.schema) if change.local is not None else None
+    if table is not None:
+        now = as_change(df, table)
+        target.send_all(Delta(now.df, now.rows, now.local))
+    else:
+        target.send_all(Delta(df, change.rows))
+
+
 class Feed(Feeder):
     """Sends every change. Changes are consolidated before, which takes fewer rounds to the same end."""
 
     def visit(self) -> bool:
         got = self.output.take()
         for change in got:
-            self.target.send_all(change.df.select(*self.target.source.schema.names, W))
+            sent(self.target, change)
         return bool(got)
 
 
+class Waiting:
+    """Changes that wait for their key's turn, and the keys that have had theirs since each came: nothing is written again when a key goes."""
+
+    def __init__(self, change: Change):
+        self.change, self.gone = change, []
+
+    def left(self, key: str) -> DataFrame:
+        keep = ~F.coalesce(F.col(key).isin([k for k in self.gone if k is not None]), F.lit(False)) if any(k is not None for k in self.gone) else F.lit(True)
+        return self.change.df.where(keep & F.col(key).isNotNull() if None in self.gone else keep)
+
+    def least(self, key: str) -> tuple | None:
+        """The smallest key that is left, null first; None: nothing is left."""
+        if self.change.local is None:
+            got = self.left(key).agg(F.min(F.struct(key)).alias("k")).first()["k"]
+            return None if got is None else tuple(got)
+        column = self.change.local[key]
+        if column.null_count and None not in self.gone:
+            return (None,)
+        gone = pa.array([k for k in self.gone if k is not None], column.type)
+        rest = column.filter(pc.and_(pc.is_valid(column), pc.invert(pc.is_in(column, gone)))) if len(gone) else column.drop_null()
+        return (pc.min(rest).as_py(),) if len(rest) else None
+
+
 class OrderedFeed(Feeder):
     """Sends changes at the smallest key that has any; those that cancel at their key are skipped."""
 
+    #: Waiting changes after which they are put together.
+    MOST = 12
+
     def __init__(self, graph: Graph, output: Sink, target: Input, key: str):
         super().__init__(graph, output, target)
-        self.key, self.pending, self.waiting = key, State(output.empty), []
+        self.key, self.pending = key, []
 
     def visit(self) -> bool:
-        for change in self.output.take():
-            self.pending.add(change)
-        if not self.pending.parts:
-            return False
-        least = min((self._least(p.change) for p in self.pending.parts), key=lambda v: (v is not None, v))
-        mine = F.col(self.key).eqNullSafe(F.lit(least).cast(self.output.schema[self.key].dataType))
-        now = written(ZFrame(self.pending.frame().where(mine)), self.output)
-        rest = written(ZFrame(self.pending.frame().where(~mine)), self.output)
-        self.pending = State(self.output.empty)
-        if rest is not None:
-            self.pending.add(rest)
-        if now is None:
-            return self.visit()
-        self.target.send_all(now.df.select(*self.target.source.schema.names, W))
-        return True
-
-    def _least(self, change: Change):
-        """The smallest key, null first."""
-        if change.local is not None:
-            column = change.local[self.key]
-            return None if column.null_count else pc.min(column).as_py()
-        return change.df.agg(F.min(F.struct(self.key)).alias("k")).first()["k"][0]
+        self.pending += [Waiting(c) for c in self.output.take()]
+        if len(self.pending) > self.MOST:
+            whole = written(ZFrame(union([p.left(self.key) for p in self.pending])), self.output)
+            self.pending = [] if whole is None else [Waiting(whole)]
+        while self.pending:
+            least = [p.least(self.key) for p in self.pending]
+            self.pending = [p for p, k in zip(self.pending, least, strict=True) if k is not None]
+            least = min((k for k in least if k is not None), key=lambda k: (k[0] is not None, k[0]), default=None)
+            if least is None:
+                return False
+            kind = self.output.schema[self.key].dataType
+            now = written(ZFrame(union([p.left(self.key) for p in self.pending]).where(F.col(self.key).eqNullSafe(F.lit(least[0]).cast(kind)))), self.output)
+            for p in self.pending:
+                p.gone.append(least[0])
+            if now is not None:
+                sent(self.target, now)
+                return True
+        return False
 
 
 class WhileFeed(Feeder):
@@ -117,7 +152,7 @@ class WhileFeed(Feeder):
         now = written(self.output.frame(), self.output)
         if now is None:
             return False
-        self.target.send_all(now.df.select(*self.target.source.schema.names, W))
+        sent(self.target, now)
         return True
 
 

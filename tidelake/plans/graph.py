@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from typing import IO
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, DoubleType, FloatType, StructType
@@ -25,16 +26,32 @@ class ContextMismatch(ValueError):
     """Parts of two graphs were used together."""
 
 
+class Delta(ZFrame):
+    """A change on its way. ``rows``: about how many it has, if it is a cheap plan over what has been computed already; else None, and whoever keeps it writes it first. ``local``: its consolidated rows, where they are at hand."""
+
+    def __init__(self, df: DataFrame, rows: int | None = None, local: pa.Table | None = None):
+        super().__init__(df)
+        self.rows, self.local = rows, local
+
+
+def together(deltas: Sequence[Delta]) -> Delta:
+    """One change of several."""
+    if len(deltas) == 1:
+        return deltas[0]
+    rows = [d.rows for d in deltas]
+    return Delta(union([d.df for d in deltas]), None if None in rows else sum(rows))
+
+
 class Edge:
     """What a consumer hasn't read yet of its producer's changes."""
 
     def __init__(self, source: Node):
         self.source, self.waiting = source, []
 
-    def pull(self) -> ZFrame | None:
+    def pull(self) -> Delta | None:
         self.source.run()
         got, self.waiting = self.waiting, []
-        return ZFrame(union(got)) if got else None
+        return together(got) if got else None
 
 
 class Side:
@@ -90,37 +107,49 @@ class Node:
             if out is not None:
                 self.emit(out)
 
-    def step(self, changes: list[ZFrame | None]) -> ZFrame | None:
+    def step(self, changes: list[Delta | None]) -> Delta | None:
         raise NotImplementedError
 
-    def emit(self, change: ZFrame) -> None:
+    def emit(self, change: Delta) -> None:
         if self.graph.count_records:
             self.emitted += int(change.df.agg(F.coalesce(F.sum(F.abs(W)), F.lit(0))).first()[0])
         for e in self.readers:
-            e.waiting.append(change.df)
+            e.waiting.append(change)
 
 
 class Linear(Node):
     """An operator for which the change of the result is the result of the change."""
 
+    #: Operators whose plans may be run again by each reader: no shuffle, no arrays made longer.
+    CHEAP = frozenset(("map", "map_", "filter", "map_counts", "negate", "fsts", "snds", "swaps", "concat", "minus"))
+
     def __init__(self, graph: Graph, kind: str, sources: Sequence[Node], f: Callable[..., ZFrame]):
-        self.f = f
+        self.f, self.cheap = f, kind in self.CHEAP
         got = f(*[ZFrame(s.empty) for s in sources])
         super().__init__(graph, kind, sources, got.schema)
 
-    def step(self, changes: list[ZFrame | None]) -> ZFrame | None:
+    def step(self, changes: list[Delta | None]) -> Delta | None:
+        there = [c for c in changes if c is not None]
         if len(changes) > 1:  # concat, minus: each side by itself
-            return self.f(*[c if c is not None else ZFrame(e.source.empty) for c, e in zip(changes, self.inputs, strict=True)])
-        return self.f(changes[0])
+            out = self.f(*[c if c is not None else ZFrame(e.source.empty) for c, e in zip(changes, self.inputs, strict=True)])
+        else:
+            out = self.f(changes[0])
+        return Delta(out.df, sum(c.rows for c in there) if self.cheap and all(c.rows is not None for c in there) else None)
 
 
 def written(z: ZFrame, owner: Node | Side) -> Change | None:
     """Consolidated and computed once, None if empty.
 
     A change of few small rows becomes a local relation: no files, and joins with it need no shuffle. One
-    that had more is written, and the next one of its owner is at once, until one is small again.
+    that had more is written, and the next one of its owner is at once, until one is small again. A large one that is
+    a cheap plan over what is written already stays as it is.
     """
-    if not owner.large:
+    rows, local = getattr(z, "rows", None), getattr(z, "local", None)
+    if local is not None:
+        return Change(z.df, local.num_rows, local) if local.num_rows else None
+    if rows is not None and rows > FEW:
+        return Change(z.df, rows, None)
+    if not owner.large or rows is not None:
         table = fetched(z.df)
         if table is not None:
             table = summed(table, z.df.schema) if table.num_rows else table
@@ -156,7 +185,7 @@ class Multilinear(Node):
         super().__init__(graph, kind, sources, f(*[ZFrame(s.empty) for s in sources]).schema)
         self.states = [State(s.empty, on) for s in sources]
 
-    def step(self, changes: list[ZFrame | None]) -> ZFrame | None:
+    def step(self, changes: list[Delta | None]) -> Delta | None:
         terms = []
         for i, change in enumerate(changes):
             change = written(change, self.sides[i]) if change is not None else None
@@ -178,7 +207,7 @@ class Anti(Node):
         super().__init__(graph, kind, sources, sources[0].schema)
         self.left, self.right = State(sources[0].empty, self.on), State(sources[1].empty.select(*self.on, W), self.on)
 
-    def step(self, changes: list[ZFrame | None]) -> ZFrame | None:
+    def step(self, changes: list[Delta | None]) -> Delta | None:
         terms = []
         a = written(changes[0], self.sides[0]) if changes[0] is not None else None
         b = written(changes[1].map(*self.on), self.sides[1]) if changes[1] is not None else None
@@ -206,21 +235,24 @@ class Group(Node):
         # Results that are told apart by the key are kept by it, so that the old ones are found by key as well.
         self.state, self.result = State(sources[0].empty, self.keys), State(self.empty, self.keys)
 
-    def step(self, changes: list[ZFrame | None]) -> ZFrame | None:
+    def step(self, changes: list[Delta | None]) -> Delta | None:
         change = written(changes[0], self.sides[0])
         if change is None:
             return None
         self.state.add(change)
         touched = keys_of(change, self.keys) if self.keys else None
         of = lambda s: ZFrame(s.frame()) if touched is None else of_keys(s, touched) if s.parts else ZFrame(s.empty)
-        out = written(self.f(of(self.state)).minus(of(self.result)), self)  # unchanged results cancel out
+        # Dealt out by the key once, rows are merged and grouped where they are.
+        rows = of(self.state)
+        rows = ZFrame(rows.df.repartition(*self.keys)) if self.keys else rows
+        out = written(self.f(rows).minus(of(self.result)), self)  # unchanged results cancel out
         if out is not None:
             self.result.add(out)
         return settled(out)
 
 
-def settled(change: Change | None) -> ZFrame | None:
-    return None if change is None else ZFrame(change.df)
+def settled(change: Change | None) -> Delta | None:
+    return None if change is None else Delta(change.df, change.rows, change.local)
 
 
 class Relation:
@@ -427,7 +459,7 @@ class Output(Node):
         """``f`` is called when a commit may have changed the output."""
         self.receivers.append(f)
 
-    def step(self, changes: list[ZFrame | None]) -> None:
+    def step(self, changes: list[Delta | None]) -> None:
         change = written(changes[0], self)
         if change is not None:
             self.state.add(change)
@@ -460,7 +492,7 @@ class Source(Node):
 
     def __init__(self, graph: Graph, schema: StructType):
         super().__init__(graph, "input", [], schema)
-        self.pending: list[DataFrame] = []
+        self.pending: list[Delta] = []
 
     def run(self) -> None:
         pass
@@ -468,7 +500,7 @@ class Source(Node):
     def commit(self) -> None:
         """Moves what was written in and marks what depends on it."""
         if self.pending:
-            self.emit(ZFrame(union(self.pending)))
+            self.emit(together(self.pending))
             self.pending = []
             self.mark()
 
@@ -492,21 +524,23 @@ class Input:
 
     def send_all(self, rows: DataFrame | ZFrame | Iterable, weight: int | None = None) -> None:
         """Changes: a DataFrame with w, or rows that end with their weight (or all have ``weight``)."""
+        known = rows if isinstance(rows, Delta) else None
         if isinstance(rows, ZFrame):
             df = rows.df
         elif isinstance(rows, DataFrame):
             df = rows if weight is None else ZFrame.of(rows.drop(W), weight).df
         else:
             df = rows_of(self.source.graph.spark, rows, self.source.schema, weight).df
-        df = df.select(*self.source.schema.names, F.col(W).cast("bigint").alias(W))
-        self.silent_send_all(df)
+        if known is None:
+            df = df.select(*self.source.schema.names, F.col(W).cast("bigint").alias(W))
+        self.silent_send_all(df, known)
         if self.frames is not None and self.frames:
             self.frames[-1].append(df)
         for f in self.listeners:
             f(df)
 
-    def silent_send_all(self, df: DataFrame) -> None:
-        self.source.pending.append(df)
+    def silent_send_all(self, df: DataFrame, known: Delta | None = None) -> None:
+        self.source.pending.append(Delta(df) if known is None else known)
 
     def send(self, *row) -> None:
         self.send_all([row])

@@ -13,7 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType, BinaryType, DoubleType, FloatType, IntegerType, StringType, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import AtomicType, BinaryType, BooleanType, ByteType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructType
 
 W = "w"
 
@@ -43,7 +44,7 @@ def union(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 #: Rows up to which a result is kept in plans as a local relation, and bytes of the values of one row that aren't of a fixed size. Larger ones are written to the checkpoint folder.
-FEW, ROW_BYTES = 10_000, 512
+FEW, ROW_BYTES = 40_000, 512
 #: A part of a state is merged with the one before it while that has up to so many times its rows.
 GROWTH = 2
 #: Rows from which on a part is kept in folders by bucket of its key, and rows of a bucket.
@@ -61,6 +62,9 @@ class Change(NamedTuple):
 
 def fetched(df: DataFrame) -> pa.Table | None:
     """The rows of ``df`` if they are few and small, else None. At most FEW + 1 rows come to the driver, of bounded size."""
+    already = evaluated(df.limit(FEW + 1))
+    if already is not None:
+        return already if already.num_rows <= FEW else None
     loose = [f.name for f in df.schema.fields if not isinstance(f.dataType, AtomicType) or isinstance(f.dataType, (StringType, BinaryType))]
     if not loose:
         got = df.limit(FEW + 1).toArrow()
@@ -72,6 +76,18 @@ def fetched(df: DataFrame) -> pa.Table | None:
     return got.select(df.columns) if got.num_rows <= FEW and pc.all(got["__small"], min_count=0).as_py() else None
 
 
+#: Types whose Python values are the same in Arrow.
+SAME = (BooleanType, ByteType, ShortType, IntegerType, LongType, StringType)
+
+
+def evaluated(df: DataFrame) -> pa.Table | None:
+    """The rows of a plan over local relations that the optimiser has worked out already, which takes no job; else None."""
+    if not all(isinstance(f.dataType, SAME) for f in df.schema.fields) or df._jdf.queryExecution().optimizedPlan().nodeName() != "LocalRelation":
+        return None
+    columns = list(zip(*df.collect(), strict=True)) or [()] * len(df.columns)
+    return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(columns, to_arrow_schema(df.schema).types, strict=True)], df.columns)
+
+
 def summed(table: pa.Table, schema: StructType) -> pa.Table | None:
     """Consolidated rows, or None if that takes Spark: floats (whose equal values differ in bits) and nested types."""
     names = [c for c in table.column_names if c != W]
