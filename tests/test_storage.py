@@ -59,6 +59,8 @@ def test_large_parts_are_read_by_bucket(spark, monkeypatch):
     assert 1 <= len(files) <= 3  # of 12
     got = held(ZFrame(near).having(keys.df, ["k"], True).df)
     assert got == {(7, str(k)): 1 for k in (307, 607, 907)} | {(300, "x"): 4, (None, "0"): 1}
+    longs = graph.keys_of(change(spark, [(7, "", 1), (1 << 40, "", 1)], "k long, v string"), ["k"])
+    assert {k for k, _ in held(ZFrame(state.at(longs)).having(longs.df, ["k"], True).df)} == {7}
     assert sum(held(state.frame()).values()) == 1200 - 1 + 4
 
 

@@ -131,6 +131,8 @@ class State:
 
     def __init__(self, empty: DataFrame, keys: Sequence[str] | None = None):
         self.empty, self.keys, self.parts = empty, list(keys or ()), []
+        # Equal floats may differ in bits, and so in their bucket.
+        self.dealt = bool(self.keys) and not any(isinstance(empty.schema[k].dataType, (FloatType, DoubleType)) for k in self.keys)
 
     def add(self, change: Change) -> None:
         self.parts.append(Part(change))
@@ -139,7 +141,7 @@ class State:
             merged = self._merged(a.change, b.change)
             if merged.rows:
                 self.parts.append(Part(merged))
-        if self.parts and self.keys and self.parts[-1].change.rows >= MANY and not self.parts[-1].buckets:
+        if self.parts and self.dealt and self.parts[-1].change.rows >= MANY and not self.parts[-1].buckets:
             self.parts[-1] = self._bucketed(self.parts[-1].change)
 
     def _merged(self, a: Change, b: Change) -> Change:
@@ -168,14 +170,15 @@ class State:
         return union([p.change.df.drop(BUCKET) for p in self.parts]) if self.parts else self.empty
 
     def at(self, keys: Change) -> DataFrame:
-        """Rows whose key may be among ``keys`` (the key's columns): of large parts only the buckets that these are in."""
+        """Rows whose key may be among ``keys`` (the key's columns, of any types that compare with ours): of large parts only the buckets that these are in."""
         if not any(p.buckets for p in self.parts) or keys.local is None:
             return self.frame()
         out = []
         for p in self.parts:
             df = p.change.df
             if p.buckets:
-                wanted = sorted(r[0] for r in keys.df.select(self._bucket(p.buckets)).distinct().collect())
+                same = keys.df.select(*[F.col(k).try_cast(self.empty.schema[k].dataType).alias(k) for k in self.keys])
+                wanted = sorted(r[0] for r in same.select(self._bucket(p.buckets)).distinct().collect())
                 df = df.where(F.col(BUCKET).isin(wanted)) if len(wanted) < p.buckets else df
             out.append(df.drop(BUCKET))
         return union(out)
