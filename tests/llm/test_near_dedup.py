@@ -74,3 +74,35 @@ def test_documents_below_the_threshold_stay(spark, texts):
 def test_keys_and_sketches_at_the_threshold():
     assert simhash.keys_at(0.8) == 24 and 1 - (1 - 0.8**simhash.KEY_VALUES) ** 24 > 0.9999
     assert simhash.bits_at(0.8) > 0.1 * simhash.SKETCH
+
+
+def test_large_groups_by_units(spark, monkeypatch):
+    """Hundreds of texts just above and below the threshold under the same keys, in units of a few dozen: brute force says which stay."""
+    monkeypatch.setattr(simhash, "UNIT", 40)
+    rng = random.Random(8)
+    hot = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = {i: edited(rng, hot, rng.randrange(1, 7)) for i in range(240)} | {1000 + i: edited(rng, hot, 12) for i in range(40)}
+    want = firsts(texts)
+    assert 20 < len(want) < 200
+    assert kept_of(spark, texts) == want
+
+
+def test_spanning_links():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(45, 60)], rng.integers(0, 1 << 60, rng.integers(0, 6), dtype=np.uint64)])) for _ in range(120)]
+    alike = lambda x, y: (n := len(np.intersect1d(x, y))) / (len(x) + len(y) - n) >= 0.8
+    x, y = simhash.spanning(sets, 0.8)
+    assert all(alike(sets[i], sets[j]) for i, j in zip(x, y, strict=True)) and len(x) < len(sets)
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        root[top(i)] = top(j)
+    assert all(top(i) == top(j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j]))

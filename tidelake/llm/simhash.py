@@ -293,8 +293,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 KEY_VALUES, RECALL, SKETCH = 5, 0.9999, 128
 #: Deviations past the expected difference up to which two sketches' texts are compared.
 DEVIATIONS = 5
-#: Of a large group's member: partners that it is compared with in the second round.
-CLOSEST = 8
+#: Members of a large group that are compared in one unit; more are cut into parts, a unit for each two of them.
+UNIT = 1024
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -363,58 +363,82 @@ def bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(first, append=len(keys))
 
 
-def proposed(nodes: np.ndarray, roots: np.ndarray, sketches: np.ndarray, limit: int, round_: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of one large group's members to be compared, of different roots and with sketches within ``limit``.
-
-    Round 0: each with its nearest hub, hubs being the least members that no hub before is near to. Round 1: members
-    outside of the largest component with their closest ones. Round 2: these with all. What is left out after that is connected.
-    """
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if round_ == 0:
-        rest = np.argsort(nodes)
-        while len(rest) > 1:
-            hub, rest = rest[0], rest[1:]
-            near = differing(sketches[rest], sketches[hub]) <= limit
-            left.append(np.full(int(near.sum()), hub))
-            right.append(rest[near])
-            rest = rest[~near]
-        return np.concatenate(left), np.concatenate(right)
-    names, sizes = np.unique(roots, return_counts=True)
-    for x in np.flatnonzero(roots != names[np.argmax(sizes)]):
-        far = differing(sketches, sketches[x])
-        y = np.flatnonzero((far <= limit) & (roots != roots[x]))
-        if round_ == 1:
-            y = y[np.argsort(far[y], kind="stable")[:CLOSEST]]
-        left.append(np.full(len(y), x))
-        right.append(y)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _proposer(limit: int, round_: int):
-    """Rows (key, node, sketch's two words, root) in order of the key -> pairs of nodes (a, b); small groups are compared whole in round 0."""
+def _proposer(limit: int):
+    """Rows (key, node, sketch's two words) of small groups in order of the key -> pairs of nodes (a, b) whose sketches are within ``limit``."""
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in key_groups(batches):
-            nodes, sketches, roots = rows[1], np.ascontiguousarray(rows[2:4].T), rows[4]
+            nodes, sketches = rows[1], np.ascontiguousarray(rows[2:4].T)
             first, size = bounds(rows[0])
-            left, right = [], []
-            for m in np.unique(size[size <= SMALL]) if round_ == 0 else ():
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for m in np.unique(size):
                 at = first[size == m][:, None] + np.arange(m)
                 for i, j in combinations(range(int(m)), 2):
                     near = differing(sketches[at[:, i]], sketches[at[:, j]]) <= limit
                     left.append(at[near, i])
                     right.append(at[near, j])
-            for a, m in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-                x, y = proposed(nodes[a : a + m], roots[a : a + m], sketches[a : a + m], limit, round_)
-                left.append(a + x)
-                right.append(a + y)
-            if left:
-                x, y = nodes[np.concatenate(left)], nodes[np.concatenate(right)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y).view(np.int64)), pa.array(np.maximum(x, y).view(np.int64))], ["a", "b"])
+            x, y = nodes[np.concatenate(left)], nodes[np.concatenate(right)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y).view(np.int64)), pa.array(np.maximum(x, y).view(np.int64))], ["a", "b"])
 
     return propose
 
 
+def spanning(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as places, that connect all that is connected by pairs of sets whose Jaccard similarity is ``similarity`` or more: each by itself is such a pair.
+
+    A set outside of the largest component so far is compared with all that aren't in its own, until none outside is left that hasn't been. So a close
+    group takes a few steps, and whatever is between two components is found from the smaller one.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    starts = np.cumsum(size) - size
+    kinds, token = np.unique(np.concatenate(sets), return_inverse=True)
+    root, done, left, right = np.arange(n), np.zeros(n, bool), [], []
+    mark = np.zeros(len(kinds), bool)
+    while True:
+        counts = np.bincount(root, minlength=n)
+        todo = np.flatnonzero(~done & (root != counts.argmax()))
+        if not len(todo):
+            return np.array(left, np.int64), np.array(right, np.int64)
+        x = int(todo[0])
+        own = token[starts[x] : starts[x] + size[x]]
+        mark[own] = True
+        common = np.add.reduceat(mark[token], starts, dtype=np.int64)
+        mark[own] = False
+        done[x] = True
+        for y in np.flatnonzero((common >= similarity * (size + size[x] - common)) & (root != root[x])).tolist():
+            if root[y] != root[x]:
+                left.append(x)
+                right.append(y)
+                root[root == root[y]] = root[x]
+
+
+def _spanner(similarity: float):
+    """Rows (unit, node, set of shingles) in order of the unit -> for each unit, links (a, b) that connect what is connected in it."""
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, nodes, sets = None, [], []
+
+        def settle() -> pa.RecordBatch:
+            x, y = spanning(sets, similarity)
+            names = np.array(nodes, np.int64)
+            a, b = names[x].view(np.uint64), names[y].view(np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], ["a", "b"])
+
+        for batch in batches:
+            for u, node_, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if u != unit and nodes:
+                    yield settle()
+                    nodes, sets = [], []
+                unit = u
+                nodes.append(node_)
+                sets.append(np.frombuffer(own.as_py(), np.uint64))
+        if nodes:
+            yield settle()
+
+    return span
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, node, sketch's two words) in order of the key -> those whose key others have too, and how many have it."""
     for rows in key_groups(batches):
@@ -444,9 +468,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(key, id, component), a row for each document: components of documents linked where the Jaccard similarity of their sets of shingles is ``similarity`` or more.
 
     Equal sets are one node, so copies never meet in pairs. Of two texts at the threshold 99.99 % share one of the keys (24 at 0.8), each a hash of
-    five MinHash values; above it, more. Pairs of a key whose sketches are far apart (five deviations past what is expected at the threshold) are
-    left out; every other link is decided on both sets. A large group is compared in three rounds, the last of which leaves no pair
-    out but those that are connected already. The key is ``text_key``: id and the text's MD5.
+    five MinHash values; above it, more. In a small group, pairs whose sketches are far apart (five deviations past what is expected at the threshold) are
+    left out; every other link is decided on both sets. In a large group, sets are compared in units of bounded size, which leaves no pair
+    out but those that are connected already; no pairs are emitted. The key is ``text_key``: id and the text's MD5.
 
     Null or empty text: as any texts without words, one component. Long texts: whole. Null ids: like any. Repeated rows: one component. Ties: none. Empty
     table: no rows. Other columns are left out, whatever their names.
@@ -488,19 +512,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     chosen = prints.select("own", F.col(KEY)["text"].alias("t")).join(met.select("node").distinct(), F.col("own") == F.col("node")).groupBy("node").agg(F.min("t").alias("t"))
     texts = rows.select(F.col(KEY)["text"].alias("m"), "text").join(chosen, F.col("m") == F.col("t"))
     sets = checkpointed(texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(sets_of, "node long, set binary"))
-    links = roots = None
-    for round_ in range(3):
-        now = met.withColumn("root", F.col("node"))
-        if round_:
-            known = roots.select(F.col("node").alias("n"), "root")
-            now = met.where(F.col("many") > SMALL).join(known, F.col("node") == F.col("n"), "left").select("key", "node", "p0", "p1", F.coalesce("root", "node").alias("root"))
-        pairs = now.select("key", "node", "p0", "p1", "root").repartition("key").sortWithinPartitions("key").mapInArrow(_proposer(limit, round_), "a long, b long").distinct()
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        found = checkpointed(both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"))
-        if links is not None and found.isEmpty():
-            continue
-        links = found if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
-        roots = checkpointed(components(links))
+    # Small groups: pairs, each once however many keys it shares, joined with both sets.
+    small = met.where(F.col("many") <= SMALL).select("key", "node", "p0", "p1")
+    pairs = small.repartition("key").sortWithinPartitions("key").mapInArrow(_proposer(limit), "a long, b long").distinct()
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    found = both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
+    # Large ones: each member's set goes to its unit, and only links that connect something come back.
+    parts = F.ceil(F.col("many") / F.lit(UNIT)).cast("long")
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    dealt = met.where(F.col("many") > SMALL).select("key", "node", parts.alias("parts")).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    units = dealt.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("unit"), "node")
+    held = units.join(sets.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("unit", "node", "set")
+    spanned = held.repartition("unit").sortWithinPartitions("unit").mapInArrow(_spanner(similarity), "a long, b long")
+    roots = checkpointed(components(checkpointed(found.unionByName(spanned))))
     return prints.select(KEY, "own").join(roots, F.col("own") == F.col("node"), "left").select(KEY, F.col(KEY)["id"].alias("id"), F.coalesce("root", "own").alias("component"))
 
 
