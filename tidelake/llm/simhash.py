@@ -465,7 +465,13 @@ def _alike(similarity: float):
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, id, component), a row for each document: components of documents linked where the Jaccard similarity of their sets of shingles is ``similarity`` or more.
+    """(key, id, component), a row for each document; see ``similar_sets``."""
+    prints, roots = similar_sets(docs, id_col, text_col, shingle, similarity)
+    return prints.select(KEY, "own").join(roots, F.col("own") == F.col("node"), "left").select(KEY, F.col(KEY)["id"].alias("id"), F.coalesce("root", "own").alias("component"))
+
+
+def similar_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(key, own, ..), a row for each document with its set's name, and (node, root) for the names of sets in components of several: components of documents linked where the Jaccard similarity of their sets of shingles is ``similarity`` or more.
 
     Equal sets are one node, so copies never meet in pairs. Of two texts at the threshold 99.99 % share one of the keys (24 at 0.8), each a hash of
     five MinHash values; above it, more. In a small group, pairs whose sketches are far apart (five deviations past what is expected at the threshold) are
@@ -509,7 +515,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = prints.where(F.length("keys") > 0).select("own", "p0", "p1", "keys").distinct().mapInArrow(keys_of, "key long, node long, p0 long, p1 long")
     met = checkpointed(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long, p0 long, p1 long, many long"))
     # A text of each node that met others; the texts of its other copies stay where they are.
-    chosen = prints.select("own", F.col(KEY)["text"].alias("t")).join(met.select("node").distinct(), F.col("own") == F.col("node")).groupBy("node").agg(F.min("t").alias("t"))
+    # Copies are put together before anything is joined, so that a text with many is one row.
+    chosen = prints.groupBy("own").agg(F.min(F.col(KEY)["text"]).alias("t")).join(met.select("node").distinct(), F.col("own") == F.col("node")).select("node", "t")
     texts = rows.select(F.col(KEY)["text"].alias("m"), "text").join(chosen, F.col("m") == F.col("t"))
     sets = checkpointed(texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(sets_of, "node long, set binary"))
     # Small groups: pairs, each once however many keys it shares, joined with both sets.
@@ -525,16 +532,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     held = units.join(sets.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("unit", "node", "set")
     spanned = held.repartition("unit").sortWithinPartitions("unit").mapInArrow(_spanner(similarity), "a long, b long")
     roots = checkpointed(components(checkpointed(found.unionByName(spanned))))
-    return prints.select(KEY, "own").join(roots, F.col("own") == F.col("node"), "left").select(KEY, F.col(KEY)["id"].alias("id"), F.coalesce("root", "own").alias("component"))
+    return prints, roots
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that come first by id in their component, one for each; all columns.
 
-    Null ids come last; of equal ids the text with the smaller MD5 comes first, and of rows equal in id and text any one stays. For other cases see ``similar_documents``.
+    Null ids come last; of equal ids the text with the smaller MD5 comes first, and of rows equal in id and text any one stays. For other cases see ``similar_sets``.
     """
-    found = similar_documents(docs, id_col, text_col, shingle, similarity)
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col(KEY).alias("k")))["k"].alias("k"))
+    prints, roots = similar_sets(docs, id_col, text_col, shingle, similarity)
+    # The first of each set's copies, then the first of each component.
+    firsts = prints.groupBy("own").agg(F.min(F.struct(F.col(KEY)["id"].isNull().alias("none"), F.col(KEY).alias("k"))).alias("first"))
+    first = firsts.join(roots, F.col("own") == F.col("node"), "left").groupBy(F.coalesce("root", "own").alias("component")).agg(F.min("first")["k"].alias("k"))
     rows = docs.select(F.struct(*docs.columns).alias(ALL), text_key(id_col, F.col(text_col)).alias(KEY))
     one = rows.join(checkpointed(first), F.col(KEY) == F.col("k")).groupBy(KEY).agg(F.first(ALL).alias(ALL))
     return one.select(*with_columns(docs, ALL, {}))
