@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelake.operators.frame import ZFrame, rows_of
-from tidelake.plans.feedback import CreationContext
+from tidelake.plans.feedback import CreationContext, OrderedFeed
 from tidelake.plans.games import fingers
 from tidelake.plans.graph import ContextMismatch
 
@@ -202,3 +202,21 @@ def test_indices_handles_and_reductions(spark):
     i.clone().add(2, 5)
     x.commit()
     assert rows(o.get(x)) == [(1, 3, 1), (2, 5, 1)] and rows(results.inspect(x)) == [(3,), (5,)] and len(heard) == 2
+
+
+def test_keys_go_one_by_one(spark, monkeypatch):
+    """A change with many keys, some null, some that cancel: each goes once, in order, however often what is left is put together."""
+    monkeypatch.setattr(OrderedFeed, "MOST_GONE", 2)
+    c = CreationContext(spark)
+    i, r = c.new_input("k int, v int")
+    target, got = c.new_input("v int")
+    order = []
+    target.add_listener(lambda df: order.append(sorted(x["v"] for x in df.collect())))
+    c.feed_ordered(r, target, "k")
+    o, x = got.into_output(), c.begin()
+    i.send_all([(k, 10 * k, 1) for k in (5, 1, 4, 3)] + [(1, 11, 2), (None, 7, 1), (2, 20, 1), (2, 20, -1), (6, 60, 1)])
+    x.commit()
+    assert order == [[7], [10, 11], [30], [40], [50], [60]]
+    i.send_all([(3, 31, 1), (None, 8, 1)])
+    x.commit()
+    assert order[6:] == [[8], [31]] and sorted(map(tuple, o.get(x).collect())) == [(7, 1), (8, 1), (10, 1), (11, 2), (30, 1), (31, 1), (40, 1), (50, 1), (60, 1)]

@@ -117,8 +117,8 @@ class Waiting:
 class OrderedFeed(Feeder):
     """Sends changes at the smallest key that has any; those that cancel at their key are skipped."""
 
-    #: Waiting changes after which they are put together.
-    MOST = 12
+    #: Waiting changes, and keys that have gone from one of them, after which what is left is put together.
+    MOST, MOST_GONE = 12, 100
 
     def __init__(self, graph: Graph, output: Sink, target: Input, key: str):
         super().__init__(graph, output, target)
@@ -126,7 +126,7 @@ class OrderedFeed(Feeder):
 
     def visit(self) -> bool:
         self.pending += [Waiting(c) for c in self.output.take()]
-        if len(self.pending) > self.MOST:
+        if len(self.pending) > self.MOST or any(len(p.gone) > self.MOST_GONE for p in self.pending):
             whole = written(ZFrame(union([p.left(self.key) for p in self.pending])), self.output)
             self.pending = [] if whole is None else [Waiting(whole)]
         while self.pending:
