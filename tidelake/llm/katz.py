@@ -16,7 +16,7 @@ FOLDS, HELD_OUT = 7, 2
 #: Counts up to this are discounted.
 K = 5
 #: Bytes of text in a block, and tokens of the corpus for each part of a table.
-BLOCK_BYTES, PART_TOKENS, LEAST_PARTS = 12 << 20, 1_000_000, 48
+BLOCK_BYTES, PART_TOKENS, LEAST_PARTS = 12 << 20, 4_000_000, 48
 #: The end of a text as a word; no word has a space.
 END = b" "
 MESSAGE = "key long, block long, kind int, payload binary, stats array<double>"
