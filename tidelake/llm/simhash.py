@@ -1,4 +1,4 @@
-"""Near-dedup: SimHash with keys from the binary Golay code; MinHash with links decided on the shingles."""
+"""Near-dedup: SimHash with keys from the binary Golay code, on 64 bits or, for texts of a wanted similarity, on more bits with links decided on the shingles."""
 
 from __future__ import annotations
 
@@ -287,14 +287,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(known, F.col("print") == F.col("p")).select(ROW, "id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Texts of a given similarity: candidates share a key of MinHash values, and links are decided on the shingles themselves.
+# Texts of a given similarity: candidates share a key of a SimHash of several words, and links are decided on the shingles themselves.
 
-#: MinHash values in a key; chance that texts at the wanted similarity share a key, which sets the number of keys; bits of a sketch.
+#: A segment catches two texts as often as a chance of similarity ** KEY_VALUES (measured, from 0.8 on); chance that texts at the wanted similarity share a
+#: key, which sets the number of segments; bits of a sketch, the first of a print.
 KEY_VALUES, RECALL, SKETCH = 5, 0.9999, 128
-#: Deviations past the expected difference up to which two sketches' texts are compared.
-DEVIATIONS = 5
+#: Bits of a segment that are most nearly even, all choices of which are flipped before it is decoded; codewords kept of those found; keys of two segments.
+EVEN, CODEWORDS, PAIRS = 6, 8, 8
+#: Shingles up to which a text has twice as many segments: its counts are small numbers, often even.
+SHORT = 64
+#: Cost of what isn't there; margins beyond WIDE count as WIDE, so costs are exact.
+NEVER, WIDE = 1 << 36, (1 << 16) - 1
+#: Deviations past the expected difference (more of it in texts of eight words, whose counts are often even) up to which two sketches' texts are compared.
+DEVIATIONS = 5.5
 #: Members of a large group that are compared in one unit; more are cut into parts, a unit for each two of them.
 UNIT = 1024
+#: Members of a key up to which those that are close to no other one are left out.
+CROWD = 4096
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -312,33 +321,84 @@ def shingles(text: bytes, shingle: int) -> np.ndarray:
 
 
 def keys_at(similarity: float) -> int:
-    """Keys of which texts at this similarity share one with a chance of RECALL at least."""
+    """Segments, by pairs, of which texts at this similarity share a key with a chance of RECALL at least."""
     if not 0 < similarity <= 1:
         raise ValueError("similarity: over 0, up to 1")
-    return 1 if similarity == 1 else int(np.ceil(np.log(1 - RECALL) / np.log1p(-(similarity**KEY_VALUES))))
+    n = 1 if similarity == 1 else int(np.ceil(np.log(1 - RECALL) / np.log1p(-(similarity**KEY_VALUES))))
+    return n + n % 2
 
 
 def bits_at(similarity: float) -> int:
-    """Bits in which sketches at this similarity differ, DEVIATIONS past the mean: each differs with a chance of (1 - s) / 2."""
-    p = (1 - similarity) / 2
+    """Bits in which sketches at this similarity differ, DEVIATIONS past the mean: each differs with a chance of the angle's share of a half-turn."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(np.ceil(SKETCH * p + DEVIATIONS * np.sqrt(SKETCH * p * (1 - p))))
 
 
-def minhashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The least value of a set (not empty) in each of ``n`` permutations."""
-    salts = mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
-    out = np.full(n, ~np.uint64(0))
-    for i in range(0, len(hashes), 1024):
-        np.minimum(out, ((hashes[i : i + 1024, None] ^ salts) * salts).min(axis=0), out=out)
+def margins(hashes: np.ndarray, words: int) -> np.ndarray:
+    """For each bit of a SimHash of so many words: how many more of the hashes set it than don't."""
+    salts = mix64(np.arange(1, words + 1, dtype=np.uint64))
+    counts = np.zeros(words * 64, np.int64)
+    for i in range(0, len(hashes), 255):
+        # A bit is a byte of a 64-bit lane: 255 rows add up without a carry.
+        lanes = np.unpackbits(mix64(hashes[i : i + 255, None] ^ salts).view(np.uint8), axis=1).view(np.uint64)
+        counts += lanes.sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return 2 * counts - len(hashes)
+
+
+@lru_cache(maxsize=1)
+def flips() -> np.ndarray:
+    """All choices of EVEN bits, a row each."""
+    return (np.arange(1 << EVEN)[:, None] >> np.arange(EVEN)) & 1
+
+
+def least(costs: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` smallest different numbers of each row in order; what is missing costs NEVER."""
+    costs = np.sort(costs, axis=1)
+    costs[:, 1:][costs[:, 1:] == costs[:, :-1]] = NEVER << 12
+    return np.sort(costs, axis=1)[:, :n]
+
+
+def codewords(segments: np.ndarray) -> np.ndarray:
+    """Of segments' margins (segments x LENGTH): cost << 12 | data bits of the CODEWORDS codewords that cost least, those found by decoding after flips.
+
+    A codeword costs the margins of the bits in which it differs from the segment, so that bits which nearly went the other way cost little.
+    """
+    nearest = decoding()[0]
+    out = np.zeros((len(segments), CODEWORDS), np.int64)
+    for i in range(0, len(segments), 512):
+        m = segments[i : i + 512]
+        weight = np.minimum(np.abs(m), WIDE)
+        word = ((m > 0) << np.arange(LENGTH)).sum(axis=1).astype(np.uint32)
+        # The place breaks ties, so that the choice is the same everywhere.
+        even = np.argsort(weight * LENGTH + np.arange(LENGTH), axis=1)[:, :EVEN]
+        tried = word[:, None] ^ ((1 << even) @ flips().T).astype(np.uint32)
+        code = tried ^ nearest[syndromes(tried)]
+        errors = np.unpackbits((code ^ word[:, None]).astype("<u4").view(np.uint8).reshape(*code.shape, 4), axis=2, bitorder="little")[:, :, :LENGTH]
+        cost = np.matmul(errors.astype(np.float32), weight.astype(np.float32)[:, :, None])[:, :, 0].astype(np.int64)
+        out[i : i + 512] = least(cost << 12 | (code >> np.uint32(CHECKS)).astype(np.int64), CODEWORDS)
     return out
 
 
-def keys_and_sketches(values: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts' MinHash values (texts x values): keys, each over values of its own; sketches, a bit of each of the first SKETCH values."""
-    k = np.broadcast_to(np.arange(keys, dtype=np.uint64), (len(values), keys))
-    for j in range(KEY_VALUES):
-        k = mix64(k ^ values[:, j : keys * KEY_VALUES : KEY_VALUES])
-    return k, np.packbits(((values[:, :SKETCH] >> np.uint64(40)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64)
+def paired(found: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (pairs x PAIRS) of segments' codewords, two and two, that cost least; which of them are there. ``pair``: each pair's number in its text."""
+    i, j = np.array([(i, j) for i in range(CODEWORDS) for j in range(CODEWORDS) if (i + 1) * (j + 1) <= PAIRS]).T
+    x, y = found[0::2][:, i], found[1::2][:, j]
+    best = np.sort(((x >> 12) + (y >> 12)) << 24 | (x & 4095) << 12 | y & 4095, axis=1)[:, :PAIRS]
+    return (best & ((1 << 24) - 1) | pair[:, None] << 24).astype(np.uint32), best >> 24 < NEVER
+
+
+def code_keys(sets: list[np.ndarray], similarity: float) -> tuple[list[bytes], np.ndarray]:
+    """Of sets of shingles: keys (32 bits each: the number of a pair of segments, both codewords); sketches, the first SKETCH bits of a SimHash. An empty set has neither."""
+    n = keys_at(similarity)
+    many = np.array([0 if not len(h) else 2 * n if len(h) * similarity <= SHORT else n for h in sets])
+    sketches, parts = np.zeros((len(sets), SKETCH // 64), np.uint64), [np.zeros((0, LENGTH), np.int64)]
+    for i in np.flatnonzero(many).tolist():
+        m = margins(sets[i], -(-(SKETCH + int(many[i]) * LENGTH) // 64))
+        sketches[i] = np.packbits(m[:SKETCH] > 0).view(np.uint64)
+        parts.append(m[SKETCH : SKETCH + many[i] * LENGTH].reshape(-1, LENGTH))
+    ends = np.cumsum(many // 2)
+    keys, there = paired(codewords(np.concatenate(parts)), np.arange(ends[-1]) - np.repeat(ends - many // 2, many // 2))
+    return [keys[a:b][there[a:b]].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)], sketches
 
 
 def key_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -439,13 +499,37 @@ def _spanner(similarity: float):
     return span
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, sketch's two words) in order of the key -> those whose key others have too, and how many have it."""
-    for rows in key_groups(batches):
-        _, size = bounds(rows[0])
-        many = np.repeat(size, size)
-        kept = rows[:, many > 1]
-        yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in kept], pa.array(many[many > 1])], ["key", "node", "p0", "p1", "many"])
+def close_ones(sketches: np.ndarray, first: np.ndarray, size: np.ndarray, limit: int) -> np.ndarray:
+    """Of members of keys (runs from ``first`` on): whether another one under the key has a sketch within ``limit``. In a group over CROWD, all count as close."""
+    close = np.zeros(len(sketches), bool)
+    for m in np.unique(size[(size > 1) & (size <= SMALL)]):
+        at = first[size == m][:, None] + np.arange(m)
+        for i, j in combinations(range(int(m)), 2):
+            near = differing(sketches[at[:, i]], sketches[at[:, j]]) <= limit
+            close[at[near, i]] = close[at[near, j]] = True
+    for a, m in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        if m > CROWD:
+            close[a : a + m] = True
+            continue
+        own = sketches[a : a + m]
+        for i in range(0, m, 256):
+            close[a + i : a + min(i + 256, m)] = (differing(own[i : i + 256, None], own[None]) <= limit).sum(axis=1) > 1
+    return close
+
+
+def _met(limit: int):
+    """Rows (key, node, sketch's two words) in order of the key -> those close to others of their key, and how many of the key are."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in key_groups(batches):
+            if not rows.shape[1]:
+                continue
+            first, size = bounds(rows[0])
+            close = close_ones(np.ascontiguousarray(rows[2:4].T), first, size, limit)
+            many = np.repeat(np.add.reduceat(close, first, dtype=np.int64), size)[close]
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in rows[:, close]], pa.array(many)], ["key", "node", "p0", "p1", "many"])
+
+    return meet
 
 
 def _alike(similarity: float):
@@ -473,15 +557,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def similar_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(key, own, ..), a row for each document with its set's name, and (node, root) for the names of sets in components of several: components of documents linked where the Jaccard similarity of their sets of shingles is ``similarity`` or more.
 
-    Equal sets are one node, so copies never meet in pairs. Of two texts at the threshold 99.99 % share one of the keys (24 at 0.8), each a hash of
-    five MinHash values; above it, more. In a small group, pairs whose sketches are far apart (five deviations past what is expected at the threshold) are
-    left out; every other link is decided on both sets. In a large group, sets are compared in units of bounded size, which leaves no pair
-    out but those that are connected already; no pairs are emitted. The key is ``text_key``: id and the text's MD5.
+    Equal sets are one node, so copies never meet in pairs. A set's SimHash is cut into segments (24 at 0.8) that are words of the Golay code. Two by two they
+    make keys of the codewords nearest to them, measured by the bits' margins, so that 99.99 % of texts at the threshold share one, and more above it; short
+    texts have twice as many. Texts whose sketches are far from those of all others under a key (five and a half deviations past what is expected at the threshold)
+    are left out, in a small group pairs are; every other link is decided on both sets. In a large group, sets are compared in units of bounded size, which
+    leaves no pair out but those that are connected already; no pairs are emitted. The key is ``text_key``: id and the text's MD5.
 
     Null or empty text: as any texts without words, one component. Long texts: whole. Null ids: like any. Repeated rows: one component. Ties: none. Empty
     table: no rows. Other columns are left out, whatever their names.
     """
-    n_keys, limit = keys_at(similarity), bits_at(similarity)
+    limit = bits_at(similarity)
     rows = docs.select(text_key(id_col, F.col(text_col)).alias(KEY), F.col(text_col).alias("text"))
     kind = rows.schema[KEY].dataType.simpleString()
 
@@ -492,9 +577,7 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, simi
             for a, b, texts in text_batches(batch, 1):
                 sets = [shingles(t, shingle) for t in texts]
                 own = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) if len(h) else 0 for h in sets], np.uint64)
-                n = max(n_keys * KEY_VALUES, SKETCH)
-                keys, sketches = keys_and_sketches(np.stack([minhashes(h, n) if len(h) else np.zeros(n, np.uint64) for h in sets]), n_keys)
-                packed = [k.tobytes() if len(h) else b"" for k, h in zip(keys, sets, strict=True)]
+                packed, sketches = code_keys(sets, similarity)
                 cols = [own, *[np.ascontiguousarray(sketches[:, i]) for i in range(2)]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(c.view(np.int64)) for c in cols], pa.array(packed, pa.binary())], [KEY, "own", "p0", "p1", "keys"])
 
@@ -502,8 +585,9 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, simi
         for batch in batches:
             if not len(batch):
                 continue
-            keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
-            cols = [pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), n_keys)) for i in range(3)]
+            packed = batch.column(3).to_pylist()
+            keys = np.frombuffer(b"".join(packed), np.uint32).astype(np.int64)
+            cols = [pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), [len(k) // 4 for k in packed])) for i in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(keys), *cols], ["key", "node", "p0", "p1"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,7 +597,7 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, simi
 
     prints = checkpointed(rows.mapInArrow(make, f"{KEY} {kind}, own long, p0 long, p1 long, keys binary"))
     dealt = prints.where(F.length("keys") > 0).select("own", "p0", "p1", "keys").distinct().mapInArrow(keys_of, "key long, node long, p0 long, p1 long")
-    met = checkpointed(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long, p0 long, p1 long, many long"))
+    met = checkpointed(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_met(limit), "key long, node long, p0 long, p1 long, many long"))
     # A text of each node that met others; the texts of its other copies stay where they are.
     # Copies are put together before anything is joined, so that a text with many is one row.
     chosen = prints.groupBy("own").agg(F.min(F.col(KEY)["text"]).alias("t")).join(met.select("node").distinct(), F.col("own") == F.col("node")).select("node", "t")
