@@ -84,6 +84,26 @@ def test_a_graph_on_bucketed_state(spark, monkeypatch):
     assert results[:3] == results[3:]
 
 
+def test_shortest_paths_on_bucketed_state(spark, monkeypatch):
+    monkeypatch.setattr(storage, "FEW", 5)
+    monkeypatch.setattr(graph, "FEW", 5)
+    monkeypatch.setattr(storage, "MANY", 20)
+    monkeypatch.setattr(storage, "BUCKET_ROWS", 10)
+    c = CreationContext(spark)
+    i, r = c.new_input("node long, dist long")
+    e, links = c.new_input("src long, dst long, len long")
+    best = r.group_min("node")
+    step = best.map(F.col("node").alias("src"), "dist").join(links, "src")
+    far = F.col("dist") + F.col("len")
+    c.feed_ordered(step.map(far.alias("k"), F.col("dst").alias("node"), far.alias("dist")), i, "k")
+    o, x = best.into_output(), c.begin()
+    # From 0 to each of 1..40 at 1, from each to 41..80 at 1 and at 3: the second ones come when the nodes are there already.
+    e.add_all([(0, n, 1) for n in range(1, 41)] + [(n, 40 + n, 1) for n in range(1, 41)] + [(n, 40 + n % 40 + 1, 2) for n in range(1, 41)])
+    i.add(0, 0)
+    x.commit()
+    assert {tuple(r) for r in o.get(x).collect()} == {(0, 0, 1)} | {(n, 1, 1) for n in range(1, 41)} | {(40 + n, 2, 1) for n in range(1, 41)}
+
+
 def test_long_values_stay_out_of_the_driver(spark):
     assert change(spark, [(1, "x" * (storage.ROW_BYTES + 1), 1)]).local is None
     assert change(spark, [(1, "x", 1), (1, "x", 2)]).local.num_rows == 1

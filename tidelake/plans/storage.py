@@ -149,7 +149,8 @@ class State:
             table = summed(pa.concat_tables([a.local, b.local.select(a.local.column_names)], promote_options="permissive"), self.empty.schema)
             if table is not None:
                 return as_change(self.empty, table)
-        df = checkpointed(consolidated(a.df.unionByName(b.df), self.keys))
+        # A part in folders has its bucket as a column, which isn't part of the row.
+        df = checkpointed(consolidated(a.df.drop(BUCKET).unionByName(b.df.drop(BUCKET)), self.keys))
         return Change(df, df.count(), None)
 
     def _bucket(self, n: int):
