@@ -84,6 +84,21 @@ def test_a_graph_on_bucketed_state(spark, monkeypatch):
     assert results[:3] == results[3:]
 
 
+def test_parts_in_buckets_are_merged(spark, monkeypatch):
+    """A part in folders is merged with one that isn't, and with one that has another number of folders."""
+    monkeypatch.setattr(storage, "FEW", 5)
+    monkeypatch.setattr(graph, "FEW", 5)
+    monkeypatch.setattr(storage, "MANY", 40)
+    monkeypatch.setattr(storage, "BUCKET_ROWS", 20)
+    rows = lambda a, b, w: change(spark, [(k, str(k), w) for k in range(a, b)])
+    state = storage.State(rows_of(spark, [], "k int, v string").df, ["k"])
+    for step, parts in ((rows(0, 60, 1), 1), (rows(20, 50, -1), 1), (rows(0, 100, 1), 1)):
+        state.add(step)
+        assert len(state.parts) == parts and "__bucket" not in state.frame().columns
+    assert held(state.frame()) == {(k, str(k)): 1 + (k < 20 or 50 <= k < 60) for k in range(100)}
+    assert state.frame().count() == 100
+
+
 def test_shortest_paths_on_bucketed_state(spark, monkeypatch):
     monkeypatch.setattr(storage, "FEW", 5)
     monkeypatch.setattr(graph, "FEW", 5)
