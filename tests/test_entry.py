@@ -36,3 +36,12 @@ def test_against_sql(spark, name):
 @pytest.mark.skipif(not DATA.exists(), reason="no tables")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_flattened_floats_are_rounded_as_floats(spark, tmp_path):
+    """Thousandths whose product is a half as a float and not quite one as a double, and halves themselves."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE embeddings AS SELECT [CAST((i + 0.5) / 1000 AS FLOAT) FOR i IN range(-400, 400)] || [NULL, 0.5::FLOAT, -0.0005::FLOAT, 1234.5675::FLOAT] AS embedding")
+    con.sql(f"COPY embeddings TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    got, want = flow.QUERIES["flatten_array"](spark, str(tmp_path)), con.sql(flow.ORACLES["flatten_array"])
+    assert table(map(tuple, got.collect()), got.columns) == table(want.fetchall(), want.columns)

@@ -89,7 +89,7 @@ def flat_map_words(s: SparkSession, d: str) -> DataFrame:
 
 @query(bag("a AS (SELECT CAST(round(unnest(embedding) * 1000) AS BIGINT) AS x, 1 AS w FROM embeddings)", "x", "a"))
 def flatten_array(s: SparkSession, d: str) -> DataFrame:
-    return out(relation(s, d, "embeddings", "embedding").flatten("embedding", "e").map(F.round(F.col("e") * 1000).cast("bigint").alias("x")))
+    return out(relation(s, d, "embeddings", "embedding").flatten("embedding", "e").map(F.round(F.col("e") * F.lit(1000).cast("float")).cast("bigint").alias("x")))
 
 
 @query(bag("a AS (SELECT l_partkey, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 2 END AS w FROM lineitem)", "l_partkey", "a"))
